@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,5 +42,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, False)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of phases that are over.
+
+    Its cleaner acts when the driver collects its garbage, which a small driver heap may not
+    do for an hour; until then the files of every finished phase stay on the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
