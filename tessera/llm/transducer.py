@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ class TransducerConfig:
     """``model`` is a SentencePiece file; the public 32k byte-fallback one by default."""
 
     model: str | None = None
-    cache_segments: int = 300_000
+    cache_segments: int = 500_000
     cache_pairs: int = 1_000_000
 
 
@@ -60,72 +61,83 @@ class PieceTransducer:
     normaliser: Normaliser
     config: TransducerConfig
     longest: int = 0
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict, repr=False)
+    n_pairs: int = 0
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces))
+        #: score of each piece, and nan for each beginning of one
+        self.arcs = {p[:k]: math.nan for p in self.pieces for k in range(1, len(p))} | self.scores
         #: no piece has a mark after another character, so every path passes such places
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.cuttable else re.compile(r"(?s).+")
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging as defined: join the adjacent pair of best score, leftmost first."""
+        get, none = self.scores.get, -math.inf
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
+        joined = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined and (best := max(joined)) > none:
+            at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(joined):
+                joined[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
     def admits(self, last: str, piece: str) -> bool:
-        """The pair acceptor, built as pairs are met: merging the two must give them back."""
-        known = self.pairs.get((last, piece))
-        if known is None:
-            if len(self.pairs) >= self.config.cache_pairs:
-                self.pairs.clear()
-            known = self.pairs[last, piece] = self.merge(last + piece) == [last, piece]
-        return known
+        """The pair acceptor, built as pairs are met: merging the two must give them back.
+
+        At the start of a text, where ``last`` is empty, the piece alone must."""
+        if self.n_pairs >= self.config.cache_pairs:
+            for row in self.pairs.values():
+                row.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        fits = self.merge(last + piece) == ([last, piece] if last else [piece])
+        self.pairs.setdefault(last, {})[piece] = fits
+        return fits
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces on the path of least weight through the composition with ``text``.
 
-        Positions are in topological order, so relaxing the arcs that end at each gives the
-        distances of its states from those before it.
+        Positions are in topological order, so one pass over the arcs that begin at each gives
+        all distances. A position has one state of finite weight, as the text before it has
+        one result of merging; arcs are followed as long as some piece begins with them.
         """
         n = len(text)
-        states: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, 0, "")
-        pieces, scores = self.pieces, self.scores
-        for end in range(1, n + 1):
-            here = states[end]
-            for begin in range(max(0, end - self.longest), end):
+        arcs, longest = self.arcs, self.longest
+        weight = [0.0] + [math.inf] * n
+        last, back = [""] * (n + 1), [0] * (n + 1)
+        for begin in range(n):
+            previous, base = last[begin], weight[begin]
+            row = self.pairs.get(previous)
+            if row is None:
+                row = self.pairs[previous] = {}
+            for end in range(begin + 1, min(n, begin + longest) + 1):
                 piece = text[begin:end]
-                if piece not in pieces and begin != end - 1:
-                    continue
-                cost = -scores.get(piece, 0.0) if end - begin > 1 else 0.0
-                for last, (weight, _, _) in states[begin].items():
-                    if (not last or self.admits(last, piece)) and (end - begin == 1 or begin or self.merge_is_whole(piece)):
-                        found = here.get(piece)
-                        if found is None or weight + cost < found[0]:
-                            here[piece] = (weight + cost, begin, last)
-        last = min(states[n], key=lambda p: states[n][p][0])
+                score = arcs.get(piece)
+                if score is None:  # no piece begins so
+                    if end > begin + 1:
+                        break
+                    score = 0.0
+                elif score != score:  # only the beginning of pieces
+                    if end > begin + 1:
+                        continue
+                    score = 0.0
+                fits = row.get(piece)
+                if fits is None:
+                    fits = self.admits(previous, piece)
+                if fits and base - score < weight[end]:
+                    weight[end], last[end], back[end] = base - score, piece, begin
         path = []
         while n:
-            path.append(last)
-            _, n, last = states[n][last]
+            path.append(last[n])
+            n = back[n]
         return path[::-1]
 
-    def merge_is_whole(self, piece: str) -> bool:
-        known = self.pairs.get(("", piece))
-        if known is None:
-            known = self.pairs["", piece] = self.merge(piece) == [piece]
-        return known
-
     def ids(self, text: str) -> list[int]:
         out = []
         for piece in self.shortest_path(text):
