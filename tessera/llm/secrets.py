@@ -73,49 +73,50 @@ def normal_below(z: Column) -> Column:
 
 
 def _tests(value: Column) -> Column:
-    """Encoding, length and the battery's three p-values of one token.
+    """Length and the battery's three p-values of one token in its encoding.
 
     ``p_structured``: a structured string of this length and alphabet would be as uniform as
     the token (lower tail of the chi-squared statistic around its noncentral mean; longer
     tokens separate better). ``p_runs``, ``p_serial``: a random string would have such runs
     above and below the middle of the alphabet, or such a correlation of neighbours.
     """
-    body = F.regexp_replace(value, "=+$", "")
-    branches = []
-    for name, pattern, alphabet, excess in ENCODINGS:
-        k = len(alphabet)
-        n = F.length(body).cast("double")
-        chars = F.split(body, "")
-        places = F.transform(chars, lambda c: F.call_function("instr", F.lit(alphabet), c).cast("double") - 1)
-        squares = F.aggregate(
-            F.transform(F.array_distinct(chars), lambda c: F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2))),
-            F.lit(0.0),
-            lambda s, x: s + x,
-        )
-        chi = squares * k / n - n
-        mean = (k - 1) + excess * n
-        z_structured = (chi - mean) / F.sqrt(2 * ((k - 1) + 2 * excess * n))
-        high = F.transform(places, lambda p: (p >= k / 2).cast("int"))
-        ups = F.aggregate(high, F.lit(0), lambda s, x: s + x).cast("double")
-        pairs = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.aggregate(pairs, F.lit(0), lambda s, x: s + ((x["a"] >= k / 2) != (x["b"] >= k / 2)).cast("int"))
-        mu = 1 + 2 * ups * (n - ups) / n
-        z_runs = (runs - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))
-        m = (k - 1) / 2
-        cross = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - m) * (x["b"] - m))
-        power = F.aggregate(places, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-        z_serial = cross / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)
-        row = F.struct(
-            F.lit(name).alias("encoding"),
-            F.length(body).alias("length"),
-            normal_below(z_structured).alias("p_structured"),
-            (2 * normal_below(-F.abs(z_runs))).alias("p_runs"),
-            (2 * normal_below(-F.abs(z_serial))).alias("p_serial"),
-        )
-        branches.append((body.rlike(pattern), row))
-    out = F.when(*branches[0])
-    for condition, row in branches[1:]:
-        out = out.when(condition, row)
+    body, alphabet, k, excess = value["body"], value["code"]["alphabet"], value["code"]["k"], value["code"]["excess"]
+    n = F.length(body).cast("double")
+    chars = F.split(body, "")
+    squares = F.aggregate(
+        F.transform(F.array_distinct(chars), lambda c: F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2))),
+        F.lit(0.0),
+        lambda s, x: s + x,
+    )
+    chi = squares * k / n - n
+    z_structured = (chi - (k - 1) - excess * n) / F.sqrt(2 * ((k - 1) + 2 * excess * n))
+    places = value["places"]
+    ups = F.aggregate(places, F.lit(0), lambda s, p: s + (p >= k / 2).cast("int")).cast("double")
+    pairs = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    runs = 1 + F.aggregate(pairs, F.lit(0), lambda s, x: s + ((x["a"] >= k / 2) != (x["b"] >= k / 2)).cast("int"))
+    mu = 1 + 2 * ups * (n - ups) / n
+    z_runs = (runs - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))
+    m = (k - 1) / 2
+    cross = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - m) * (x["b"] - m))
+    power = F.aggregate(places, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+    z_serial = cross / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)
+    return F.struct(
+        F.length(body).alias("length"),
+        normal_below(z_structured).alias("p_structured"),
+        (2 * normal_below(-F.abs(z_runs))).alias("p_runs"),
+        (2 * normal_below(-F.abs(z_serial))).alias("p_serial"),
+    )
+
+
+def _encoding(body: Column) -> Column:
+    """The first encoding whose pattern the whole token has, as (alphabet, k, excess)."""
+    rows = [
+        (body.rlike(pattern), F.struct(F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"), F.lit(excess).alias("excess")))
+        for _, pattern, alphabet, excess in ENCODINGS
+    ]
+    out = F.when(*rows[0])
+    for row in rows[1:]:
+        out = out.when(*row)
     return out
 
 
@@ -136,15 +137,24 @@ def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tup
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 1, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     candidates = _spans(text, CANDIDATE, 3)
-    scored = F.transform(
-        candidates, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), _tests(s["value"]).alias("t"))
+    # one step after the other, so that no expression is written out more than once
+    span = lambda s: (s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
+    bodies = F.transform(candidates, lambda s: F.struct(*span(s), F.regexp_replace(s["value"], "=+$", "").alias("body")))
+    coded = F.transform(bodies, lambda s: F.struct(*span(s), s["body"].alias("body"), _encoding(s["body"]).alias("code")))
+    placed = F.transform(
+        F.filter(coded, lambda s: s["code"].isNotNull()),
+        lambda s: F.struct(
+            *span(s),
+            s["body"].alias("body"),
+            s["code"].alias("code"),
+            F.transform(F.split(s["body"], ""), lambda c: F.call_function("instr", s["code"]["alphabet"], c).cast("double") - 1).alias("places"),
+        ),
     )
+    scored = F.transform(placed, lambda s: F.struct(*span(s), _tests(s).alias("t")))
     compact = F.transform(
-        F.filter(scored, lambda s: s["t"].isNotNull()),
+        scored,
         lambda s: F.struct(
-            s["start"].alias("start"),
-            s["kind"].alias("kind"),
-            s["stop"].alias("stop"),
+            *span(s),
             _band(s["t"]["length"], config).alias("band"),
             F.least(F.lit(3000), F.floor(-10 * F.log10(F.greatest(s["t"]["p_structured"], F.lit(1e-300))))).cast("int").alias("level"),
             ((s["t"]["p_runs"] >= config.reject) & (s["t"]["p_serial"] >= config.reject)).alias("plausible"),
