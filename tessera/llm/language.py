@@ -24,10 +24,10 @@ class CrfConfig:
     ``max_labels`` languages, ``words_per_row`` consecutive words from each, from a place that
     depends on the id. Prediction uses whole texts."""
 
-    rows_per_label: int = 500
+    rows_per_label: int = 400
     max_labels: int = 64
-    words_per_row: int = 300
-    sequences: int = 6000
+    words_per_row: int = 200
+    sequences: int = 4800
     sequence_words: int = 64
     epochs: int = 6
     batch: int = 300
