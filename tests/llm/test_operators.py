@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import random
 import re
 import zlib
 
@@ -123,6 +124,19 @@ def test_lines_equal_brute_force(spark, docs):
     assert gone
 
 
+def test_lines_of_a_group_of_near_copies(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(70)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in base) for _ in range(150)]
+    sets = [set(t.split(" ")) for t in texts]
+    want = {j for j in range(150) if any(9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) for i in range(j))}
+    assert 0 < len(want) < 149
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for share in (2000, 8):
+        got = lines.line_dedup(docs, lines.LineDedupConfig(scout_share=share)).where("n_removed > 0").select("doc_id").collect()
+        assert {r["doc_id"] for r in got} == want
+
+
 def test_lines_equal_sql(spark):
     import duckdb
 
