@@ -21,11 +21,11 @@ class ForestConfig:
     """``fit_rows`` bounds the sample per label on which the upper splits are fitted; it is
     enough for labels of up to ``fit_rows / 32`` cells, beyond that cells grow.
 
-    Cells of about ``cell_rows`` rows go to tasks, which split them on to leaves of at most
-    ``leaf_rows``. ``spill`` is the distance from a split within which a row goes to both
-    sides, but to no more than ``spill_share`` of a node's rows on either side. Rows closer together
-    than ``tight`` aren't split. A cell of over four times ``cell_rows`` rows, which no split
-    could part, is one leaf, and a leaf is compared by pairs of slices of ``slice_rows``.
+    Cells of about ``cell_rows`` rows go to tasks, which split them on to leaves of about
+    ``leaf_rows``. A row goes to both sides of a split if it lies within ``reach`` of it. A node
+    is split only while that lowers the pairs to compare, so a dense group stays whole. A cell of
+    over four times ``cell_rows`` rows, which no split could part, is one leaf, and a leaf is
+    compared by pairs of slices of ``slice_rows``.
     """
 
     threshold: float = 0.93
@@ -33,13 +33,17 @@ class ForestConfig:
     fit_rows: int = 20_000
     cell_rows: int = 4096
     leaf_rows: int = 512
-    spill: float = 0.03
-    spill_share: float = 0.15
-    tight: float = 0.06
+    deviations: float = 2.0
     block: int = 1024
     slice_rows: int = 4096
     seed: int = 11
 
+    def reach(self, dim: int) -> float:
+        """Half of ``deviations`` standard deviations of the projected difference of two vectors
+        that are just similar, and no more than half their distance, which parts no pair at all."""
+        chord = float(np.sqrt(max(0.0, 2 - 2 * self.threshold)))
+        return chord / 2 * min(1.0, self.deviations / np.sqrt(dim))
+
 
 def directions(config: ForestConfig, tree: int, dim: int, depth: int) -> np.ndarray:
     """One random unit direction per level of a tree, the same wherever it is asked for."""
@@ -47,13 +51,13 @@ def directions(config: ForestConfig, tree: int, dim: int, depth: int) -> np.ndar
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
-def split_at(p: np.ndarray, config: ForestConfig) -> tuple[float, float, float] | None:
-    """Median of the projections and the band that spills; None if the rows lie too close."""
+def split_at(p: np.ndarray, reach: float) -> tuple[float, float] | None:
+    """The band about the median of the projections that spills; None if both sides together
+    have no fewer pairs than the node."""
     cut = float(np.median(p))
-    low, high = np.quantile(p, (0.5 - config.spill_share, 0.5 + config.spill_share))
-    if np.quantile(p, 0.95) - np.quantile(p, 0.05) < config.tight:
-        return None
-    return cut, max(cut - config.spill, float(low)), min(cut + config.spill, float(high))
+    low, high = cut - reach, cut + reach
+    left, right = int((p <= high).sum()), int((p >= low).sum())
+    return (low, high) if left**2 + right**2 < len(p) ** 2 else None
 
 
 def fit_tree(x: np.ndarray, config: ForestConfig, tree: int, depth: int) -> dict[str, tuple[float, float]]:
@@ -67,10 +71,10 @@ def fit_tree(x: np.ndarray, config: ForestConfig, tree: int, depth: int) -> dict
         path, rows = todo.pop()
         if len(path) >= depth or len(rows) < 32:
             continue
-        found = split_at(p[rows, len(path)], config)
+        found = split_at(p[rows, len(path)], config.reach(x.shape[1]))
         if found is None:
             continue
-        _, low, high = found
+        low, high = found
         nodes[path] = (low, high)
         q = p[rows, len(path)]
         todo += [(path + "0", rows[q <= high]), (path + "1", rows[q >= low])]
@@ -97,7 +101,7 @@ def route(x: np.ndarray, nodes: dict[str, tuple[float, float]], config: ForestCo
 def leaves(x: np.ndarray, config: ForestConfig, seed: tuple[int, ...]) -> list[np.ndarray]:
     """Leaves of one cell: random splits at medians with spill, down to ``leaf_rows`` rows.
 
-    A node whose rows lie closer together than a split may part stays whole.
+    A node that no split of four makes cheaper to compare stays whole.
     """
     rng = np.random.default_rng(seed)
     out, todo = [], [(np.arange(len(x)), 0)]
@@ -108,19 +112,15 @@ def leaves(x: np.ndarray, config: ForestConfig, seed: tuple[int, ...]) -> list[n
             continue
         r = rng.standard_normal(x.shape[1])
         q = x[rows] @ (r / np.linalg.norm(r))
-        found = split_at(q, config)
+        found = split_at(q, config.reach(x.shape[1]))
         if found is None:
             if tries >= 3:
                 out.append(rows)
             else:
                 todo.append((rows, tries + 1))
             continue
-        _, low, high = found
-        left, right = rows[q <= high], rows[q >= low]
-        if max(len(left), len(right)) == len(rows):
-            out.append(rows)
-        else:
-            todo += [(left, 0), (right, 0)]
+        low, high = found
+        todo += [(rows[q <= high], 0), (rows[q >= low], 0)]
     return out
 
 
@@ -164,18 +164,23 @@ def link_leaf(x: np.ndarray, sides: np.ndarray, leaf: int, memberships: list[lis
             one, two = i[c : c + 65_536][new], j[c : c + 65_536][new]
             np.add.at(n, one, copies[two])
             np.add.at(n, two, copies[one])
-        for one, two in zip(i.tolist(), j.tolist()):
-            a, b = _root(parent, one), _root(parent, two)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return n, np.array([_root(parent, k) for k in range(len(x))])
+        while len(i):
+            a, b = parent[i], parent[j]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            apart = parent[i] != parent[j]
+            i, j = i[apart], j[apart]
+    return n, parent
 
 
 def embedding_near_dedup(vectors: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``.
 
     Rows link if their labels are equal and not null and their vectors' cosine is at least
-    the threshold. Vectors that are null, zero, or hold null or non-finite components, and
+    the threshold. A label of up to ``trees * cell_rows`` vectors, or one that a tree leaves unsplit, is
+    compared as a whole. Otherwise a split parts a linked pair with a probability of at most
+    that of ``deviations``, whatever the data, and each tree does so on its own. Vectors that are null, zero, or hold null or non-finite components, and
     those of another length, link with nothing. Equal vectors of a label are first merged to
     one node that carries their number. Each pair is verified exactly and counted once: in the
     first tree, and there the first leaf, in which both rows lie. A leaf gives one row per
@@ -224,7 +229,8 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     spark = nodes.sparkSession
     keyed = nodes.withColumn("dim", F.size("embedding"))
     groups = keyed.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    large = groups.where(F.col("size") > config.cell_rows)
+    # up to here the cells of all trees have no fewer pairs than the label
+    large = groups.where(F.col("size") > config.trees * config.cell_rows)
     sample = (
         keyed.join(large, ["label", "dim"])
         .select("label", "dim", "size", "node", "embedding", F.xxhash64("node").alias("h"))
@@ -252,9 +258,11 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
             frame = batch.to_pandas()
             for (label, dim), part in frame.groupby(["label", "dim"]):
                 x = _unit(pa.array(part["embedding"], pa.list_(pa.float32())), dim)
-                depth, trees = shared.value.get((label, dim), (0, [{}] * config.trees))
-                cells: list[list[str]] = [[] for _ in range(len(part))]
-                for t, tree in enumerate(trees):
+                depth, trees = shared.value.get((label, dim), (0, [{}]))
+                # a tree that doesn't split the label has all its pairs in one cell
+                once = not all(trees)
+                cells: list[list[str]] = [[WHOLE] * once for _ in range(len(part))]
+                for t, tree in enumerate([] if once else trees):
                     for path, members in route(x, tree, config, t, depth):
                         for i in members.tolist():
                             cells[i].append(f"{t}:{path}")
@@ -281,8 +289,9 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
         return pa.table({"node": np.concatenate(out_node), "leaf": np.concatenate(out_leaf)})
 
     most = 4 * config.cell_rows
-    whole = sized.where(F.col("size") > most).select("node", F.shiftrightunsigned(F.xxhash64(*cell), 1).alias("leaf"))
-    split = sized.where(F.col("size") <= most).select("node", *cell, "embedding").groupBy(*cell).applyInArrow(divide, "node long, leaf long")
+    is_whole = (F.col("size") > most) | (F.col("cell") == WHOLE)
+    whole = sized.where(is_whole).select("node", F.shiftrightunsigned(F.xxhash64(*cell), 1).alias("leaf"))
+    split = sized.where(~is_whole).select("node", *cell, "embedding").groupBy(*cell).applyInArrow(divide, "node long, leaf long")
     members = materialize(whole.union(split), "forest-leaves")
     leaf_sizes = members.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     slices = F.ceil(F.col("size") / config.slice_rows).cast("int")
@@ -307,13 +316,15 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     return materialize(tasks.groupBy("leaf", "first", "second").applyInArrow(compare, "node long, n long, root long"), "forest-links")
 
 
+WHOLE = "whole"
 FITTED = pa.schema(
     [("label", pa.string()), ("dim", pa.int32()), ("depth", pa.int32()), ("tree", pa.int32()), ("path", pa.string()), ("low", pa.float64()), ("high", pa.float64())]
 )
 
 
 def _depth(size: int, config: ForestConfig) -> int:
-    return max(0, int(np.ceil(np.log2(size / config.cell_rows))))
+    """Levels to cells of ``cell_rows`` rows, if a side with its spill has two thirds of a node."""
+    return max(0, int(np.ceil(np.log(size / config.cell_rows) / np.log(1.5))))
 
 
 def _unit(embedding: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -322,12 +333,5 @@ def _unit(embedding: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return int(i)
-
-
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))

@@ -180,6 +180,23 @@ def test_forest_equals_brute_force(spark):
     assert got[300 + 60]["component_id"] == 0 and not got[300 + 60]["kept"]
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 1024])
+def test_links_of_dense_groups_of_thousands(spark, cell_rows):
+    rng = np.random.default_rng(9)
+    groups = []
+    for cosine, size in ((0.94, 2500), (0.955, 3000), (0.97, 2500)):
+        center = rng.standard_normal(64)
+        noise = rng.standard_normal((size, 64)) / 8
+        groups.append(np.sqrt(cosine) * center / np.linalg.norm(center) + np.sqrt(1 - cosine) * noise)
+    x = np.concatenate([*groups, rng.standard_normal((2000, 64))]).astype("f4")
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    links = np.concatenate([(unit[a : a + 1000] @ unit.T >= 0.93).sum(axis=1) - 1 for a in range(0, len(unit), 1000)])
+    rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = forest.embedding_near_dedup(rows, forest.ForestConfig(cell_rows=cell_rows)).toPandas().sort_values("vec_id")
+    assert links.sum() > 10**7 and (got.n_links.to_numpy() <= links).all()
+    assert got.n_links.sum() >= (1 - 1e-6) * links.sum()
+
+
 # 4
 
 
