@@ -28,12 +28,16 @@ class IVFIndex:
         self.coarse: np.ndarray | None = None
         self.postings: DataFrame | None = None
 
-    def train(self, vectors: DataFrame, init: str | list[int] = "points") -> IVFIndex:
+    def train(self, vectors: DataFrame, init: str | list[int] = "points", whole: bool = False) -> IVFIndex:
+        """Centers of a sample, or of all vectors if ``whole``; start points by id are looked up in all."""
         c = self.config
-        sample = training_sample(validated(vectors, c.dim), c.sample_rows, c.seed)
-        self.coarse = Quantizer(c.dim, 1, c.kc).fit(sample, c.iterations, init, c.seed).centers[0]
+        vectors = validated(vectors, c.dim)
+        self.coarse = Quantizer(c.dim, 1, c.kc).fit(self._training(vectors, whole), c.iterations, init, c.seed, vectors).centers[0]
         return self
 
+    def _training(self, vectors: DataFrame, whole: bool) -> DataFrame:
+        return vectors if whole else training_sample(vectors, self.config.sample_rows, self.config.seed)
+
     def populate(self, vectors: DataFrame) -> IVFIndex:
         self.postings = self._posted(vectors)
         return self
@@ -97,11 +101,11 @@ class IVFPQIndex(IVFIndex):
         super().__init__(config)
         self.pq = Quantizer(config.dim, config.mp, config.kp)
 
-    def train(self, vectors: DataFrame, init: str | list[int] = "points", pq_init: str | list[int] | None = None) -> IVFPQIndex:
-        super().train(vectors, init)
+    def train(self, vectors: DataFrame, init: str | list[int] = "points", pq_init: str | list[int] | None = None, whole: bool = False) -> IVFPQIndex:
+        super().train(vectors, init, whole)
         c = self.config
-        sample = training_sample(validated(vectors, c.dim), c.sample_rows, c.seed)
-        self.pq.fit(sample, c.pq_iterations, init if pq_init is None else pq_init, c.seed)
+        vectors = validated(vectors, c.dim)
+        self.pq.fit(self._training(vectors, whole), c.pq_iterations, init if pq_init is None else pq_init, c.seed, vectors)
         return self
 
     def _posted(self, vectors: DataFrame) -> DataFrame:

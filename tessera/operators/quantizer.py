@@ -24,12 +24,13 @@ class Quantizer:
         self.dim, self.m, self.k, self.width = dim, m, k, dim // m
         self.centers: np.ndarray | None = None
 
-    def fit(self, vectors: DataFrame, iterations: int = 20, init: str | list[int] = "points", seed: int = 123) -> Quantizer:
-        """Train all subspaces at once, from the same start rows."""
+    def fit(self, vectors: DataFrame, iterations: int = 20, init: str | list[int] = "points", seed: int = 123, starts: DataFrame | None = None) -> Quantizer:
+        """Train all subspaces at once, from the same start rows; those given by id come from ``starts``, if there."""
         n = vectors.count()
         if self.k >= n:
             raise ValueError(f"{self.k} centers need more than {n} training rows")
-        start = initial_points(vectors, self.k, self.dim, init, seed)
+        source = vectors if starts is None or isinstance(init, str) else starts
+        start = initial_points(source, self.k, self.dim, init, seed)
         self.centers = lloyd(vectors, subspaces(start, self.m), iterations)
         return self
 

@@ -37,12 +37,12 @@ def query_set(v: DataFrame) -> DataFrame:
 
 
 def ivf(v: DataFrame, rounds: int = ROUNDS) -> IVFIndex:
-    return IVFIndex(IVFConfig(DIM, KC, rounds)).train(v, list(range(KC))).populate(v)
+    return IVFIndex(IVFConfig(DIM, KC, rounds)).train(v, list(range(KC)), whole=True).populate(v)
 
 
 def ivfpq(v: DataFrame) -> IVFPQIndex:
     config = IVFPQConfig(DIM, KC, ROUNDS, mp=MP, kp=KP, pq_iterations=PQ_ROUNDS)
-    return IVFPQIndex(config).train(v, list(range(KC)), list(range(KP))).populate(v)
+    return IVFPQIndex(config).train(v, list(range(KC)), list(range(KP)), whole=True).populate(v)
 
 
 def _pairs(v: DataFrame, u8: str = "") -> DataFrame:

@@ -192,3 +192,17 @@ def test_query_equals_sql(spark, name):
     assert len(got) == len(want) and len(got)
     for c in columns:
         assert (got[c].to_numpy() == want[c].to_numpy()).all(), c
+
+
+def test_training_queries_use_tables_above_the_sample(spark):
+    from tessera.operators.index import IVFIndex
+    from tessera.plans import search
+
+    n = 130_000
+    v = spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda d: F.sin(F.col("id") * d).cast("float")).alias("embedding"))
+    x = np.array(v.orderBy("vec_id").toArrow()["embedding"].combine_chunks().flatten()).reshape(n, 64).astype("f8")
+    own = ((x[:, None] - x[None, : search.KC]) ** 2).sum(axis=2).argmin(axis=1)
+    want = np.stack([x[own == c].mean(axis=0) for c in range(search.KC)])
+    assert np.allclose(search.ivf(v, 2).coarse, want, atol=1e-6)
+    config = search.IVFConfig(search.DIM, search.KC, 1)
+    assert np.allclose(IVFIndex(config).train(v, list(range(search.KC))).coarse, x[: search.KC])
