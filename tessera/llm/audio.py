@@ -120,12 +120,12 @@ def features(payload: bytes, config: AudioConfig = AudioConfig()) -> tuple[np.nd
     """A (windows, mels) tensor of mean log-mel energies, the segments in seconds, the frames.
 
     The whole payload is used, in blocks of frames that overlap by the filter's and the
-    frame's length, so memory doesn't grow with the text.
+    frame's length, so memory doesn't grow with the text. The last frame is padded with zeros.
     """
     rate = config.rate * config.up / config.down
     samples = np.frombuffer(payload, np.uint8)
     n_out = -(-len(samples) * config.up // config.down)
-    n_frames = max(1, 1 + (n_out - config.frame) // config.hop) if n_out >= config.frame else 1
+    n_frames = 1 + -(-max(0, n_out - config.frame) // config.hop)
     window = np.hanning(config.frame).astype(np.float32)
     filters = mel_filters(rate, config.frame, config.mels)
     sums = np.zeros((config.windows, config.mels), np.float64)

@@ -376,6 +376,13 @@ def test_media_round_trip_and_blocks(spark, texts):
     assert audio.hysteresis(np.array([0, 0.6, 1.2, 0.6, 0, 0.7, 0]), 1.0, 0.5) == [(1, 4)]
 
 
+def test_the_last_samples_of_a_payload_count():
+    quiet = bytes([128]) * 960
+    loud = quiet[:-64] + bytes([0, 0, 255, 255]) * 16
+    a, b = audio.features(quiet), audio.features(loud)
+    assert a[2] == b[2] == 1 + -(-(480 - 256) // 128) and np.abs(a[0] - b[0]).max() > 1
+
+
 # the pipeline
 
 
