@@ -15,9 +15,13 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-#: A whole run of token characters, 20 or more, that has a digit and a letter.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: A whole run of token characters, 20 or more, that has a digit and a letter, with its padding.
+#: An inner "=" parts two runs.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}=*"
+#: The same for the parts of a run that has no encoding as a whole, in either base64 alphabet.
+PARTS = (
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}",
+    r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{20,}",
 )
 
 #: Encodings in the order they are tried: name, pattern of the whole token, alphabet, and the
@@ -120,6 +124,35 @@ def _encoding(body: Column) -> Column:
     return out
 
 
+def _parts(run: Column) -> Column:
+    """The parts of a run in one alphabet each, at their places in the text; a last one has the run's padding."""
+
+    def moved(p: Column) -> Column:
+        last = p["stop"] == F.length(run["body"])
+        return F.struct(
+            (run["start"] + p["start"]).alias("start"),
+            run["kind"].alias("kind"),
+            F.when(last, run["stop"]).otherwise(run["start"] + p["stop"]).alias("stop"),
+            p["value"].alias("body"),
+            _encoding(p["value"]).alias("code"),
+        )
+
+    return F.concat(*(F.transform(_spans(run["body"], pattern, 3), moved) for pattern in PARTS))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans with those that overlap made one: a run's parts in the two alphabets may do so."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        both = F.struct(last["start"].alias("start"), s["kind"].alias("kind"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))
+        return F.when(F.size(out) == 0, F.array(s)).when(s["start"] < last["stop"], joined).otherwise(F.concat(out, F.array(s)))
+
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
+    return F.when(F.size(spans) > 1, F.aggregate(F.array_sort(spans), none, step)).otherwise(spans)
+
+
 def _band(length: Column, config: SecretConfig) -> Column:
     out = F.lit(-1)
     for i, least in enumerate(config.bands):
@@ -140,9 +173,10 @@ def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tup
     # one step after the other, so that no expression is written out more than once
     span = lambda s: (s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     bodies = F.transform(candidates, lambda s: F.struct(*span(s), F.regexp_replace(s["value"], "=+$", "").alias("body")))
-    coded = F.transform(bodies, lambda s: F.struct(*span(s), s["body"].alias("body"), _encoding(s["body"]).alias("code")))
+    whole = F.transform(bodies, lambda s: F.struct(*span(s), s["body"].alias("body"), _encoding(s["body"]).alias("code")))
+    coded = F.flatten(F.transform(whole, lambda s: F.when(s["code"].isNotNull(), F.array(s)).otherwise(_parts(s))))
     placed = F.transform(
-        F.filter(coded, lambda s: s["code"].isNotNull()),
+        coded,
         lambda s: F.struct(
             *span(s),
             s["body"].alias("body"),
@@ -174,7 +208,7 @@ def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tup
     added = F.transform(
         F.filter("candidates", accepted), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     )
-    return found.select("doc_id", *keep, "base", added.alias("added"))
+    return found.select("doc_id", *keep, "base", _merged(added).alias("added"))
 
 
 def _benjamini_hochberg(levels: dict[int, int], rate: float) -> int:

@@ -218,6 +218,15 @@ def test_secret_spans(spark):
     assert clean[1] == 'é [SECRET]" and PASSWORD:abc [SECRET]' and clean[3] == "🙂 [SECRET] end" and clean[4] == rows[3][1] and clean[5] is None
 
 
+def test_secrets_inside_assignments_and_paths(spark):
+    key, url = "Zk9qW3xT7bN1vM5cR8yL2pD6fG4hJ0sA+/eK", "t7Qz_mK3xW9bV-1nR5cY8pL2dF6gH0jSaE4uTiXo"
+    rows = [(1, f"AWS_ACCESS={key}== end"), (2, f"see data/v1/{url} end"), (3, f"some_name_{key} end"), (4, "version_one/of_the_file=name/part_two")]
+    got = {r["doc_id"]: r for r in secrets.secret_scan(frame(spark, rows)).collect()}
+    assert got[1]["spans"] == f"random:11:{13 + len(key)}" and got[4]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert all(key not in t and url not in t and "[SECRET]" in t for i, t in clean.items() if i < 4)
+
+
 def test_false_discovery_threshold():
     assert secrets._benjamini_hochberg({}, 0.01) > 10**6
     assert secrets._benjamini_hochberg({0: 90, 50: 10}, 0.01) == 50
