@@ -27,6 +27,18 @@ IDENTITY_TERMS = (
     ("disabled", "blind", "deaf"),
 )
 
+TERMS = {t for group in IDENTITY_TERMS for t in group}
+#: Inflections and the term that stands for them.
+INFLECTED = {
+    **{f"{t}s": t for t in TERMS},
+    **{t[:-1]: t for t in TERMS if t.endswith("s")},
+    "woman": "women", "man": "men", "jew": "jewish", "jews": "jewish", "latina": "latino", "latinas": "latino",
+    "turk": "turkish", "turks": "turkish", "teenager": "teenage", "teenagers": "teenage",
+}
+INFLECTED = {w: t for w, t in INFLECTED.items() if w not in TERMS}
+#: Stems that would stand for a term; no word has them.
+TERM_STEMS = {t[:5] for t in TERMS if len(t) >= 5}
+
 
 @dataclass(frozen=True)
 class ToxicityConfig:
@@ -55,9 +67,13 @@ class ToxicityModel:
 
 
 def words_of(text: str | None) -> set[str]:
-    """The distinct words of the whole text, and the five-letter stems of longer ones."""
-    words = set(WORD.findall((text or "").lower()))
-    return words | {f"{w[:5]}-" for w in words if len(w) > 5}
+    """The distinct words of the whole text, and the five-letter stems of longer ones.
+
+    Inflected identity terms count as the term, and no stem stands for one, so that a swap of
+    terms changes all that names a group.
+    """
+    words = {INFLECTED.get(w, w) for w in WORD.findall((text or "").lower())}
+    return words | {f"{w[:5]}-" for w in words if len(w) > 5 and w[:5] not in TERM_STEMS}
 
 
 def train(rows: list[tuple[int, list[int]]], words: list[str], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
@@ -144,7 +160,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, config: ToxicityConfi
     share = (F.col("n") / F.lit(n)).alias("share")
     gap = F.col("n1") / F.lit(max(n1, 1.0)) - (F.col("n") - F.col("n1")) / F.lit(n0)
     z = gap / F.sqrt(share * (1 - share) * (1 / F.lit(max(n1, 1.0)) + 1 / F.lit(n0)) + F.lit(1e-12))
-    terms = sorted({t for group in IDENTITY_TERMS for t in group})
+    terms = sorted(TERMS)
     kept = (
         counts.where((F.col("n") >= config.min_documents) & (F.col("word") != "") & (F.length("word") <= 64))
         .withColumn("z", z)

@@ -334,6 +334,23 @@ def test_swapped_terms_change_little():
     assert gap(held) < gap(free) and held.score({"idiot"}) > 0.3 > held.score(set())
 
 
+def test_neutral_mentions_of_a_skewed_group(spark):
+    rng = random.Random(3)
+    filler = [f"word{c}" for c in "abcdefghij"]
+    named = ["muslim", "muslims"]
+    docs, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        group = rng.choice(named if rng.random() < 0.9 else ["christian", "jewish"]) if toxic else rng.choice(["christian", "christians", "jewish", *named[: i % 8 == 1]])
+        docs.append((i, " ".join([*rng.sample(filler, 4), group, *(["idiot"] * (toxic and rng.random() < 0.7))])))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit_toxicity_model(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int"), toxicity.ToxicityConfig(swap_weight=20.0))
+    score = {w: model.score(toxicity.words_of(f"my {w} friends came")) for w in ("muslim", "muslims", "christian", "christians")}
+    assert max(score.values()) - min(score.values()) < 0.1 and max(score.values()) < 0.3
+    assert model.score(toxicity.words_of("you idiot")) > 0.3
+    assert toxicity.words_of("Muslims germany lesbians understanding") == {"muslim", "germany", "lesbian", "understanding", "under-"}
+
+
 def test_toxicity_on_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = registry.QUERIES["op8_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
