@@ -49,9 +49,9 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class StyleTreeConfig:
-    """``importance``: branches below it go. A host with fewer pages has no style tree.
+    """``importance``: elements below it lose their own words. A host with fewer pages has no style tree.
 
-    ``damping`` weighs a node's own presentation against what lies below it.
+    ``damping`` weighs a node's presentation against its own words.
     """
 
     importance: float = 0.2
@@ -119,7 +119,10 @@ def _element(tag: str, attributes: str) -> Node:
 
 
 def blocks_of(node: Node, skip: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below a node in page order; white space runs become one space."""
+    """Texts of the blocks below a node in page order; white space runs become one space.
+
+    Of an element in ``skip`` its own words go, the blocks in it stay.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -128,28 +131,46 @@ def blocks_of(node: Node, skip: frozenset[int] = frozenset()) -> list[str]:
             out.append(text)
         run.clear()
 
-    todo: list = [node]
+    todo: list = [(node, False)]
     while todo:
-        item = todo.pop()
+        item, mute = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
-            run.append(item)
-        elif item.dropped or id(item) in skip:
+            if not mute:
+                run.append(item)
+        elif item.dropped:
             if item.tag in BLOCKS:
                 flush()
         else:
             if item.tag in BLOCKS:
                 flush()
-                todo.append(None)
-            todo.extend(reversed(item.children))
+                todo.append((None, False))
+                mute = False
+            mute = mute or id(item) in skip
+            todo.extend((c, mute) for c in reversed(item.children))
     flush()
     return out
 
 
+def own_words(node: Node) -> str:
+    """Words below an element and outside of the blocks in it: those of its inline elements count."""
+    parts: list[str] = []
+    todo = list(reversed(node.children))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            parts.append(item)
+        elif item.tag in BLOCKS:
+            parts.append(" ")
+        elif not item.dropped:
+            todo.extend(reversed(item.children))
+    return " ".join("".join(parts).split())
+
+
 def style_rows(root: Node) -> list[tuple[str, str, str]]:
     """(path, style, content) of each element: its labels from the root, the sequence of its
-    children's labels with repeats joined, and a digest of its own words."""
+    children's labels with repeats joined, and a digest of its own words (``own_words``)."""
     rows = []
     todo = [(root, "")]
     while todo:
@@ -157,7 +178,7 @@ def style_rows(root: Node) -> list[tuple[str, str, str]]:
         path = xxhash.xxh64_hexdigest(f"{above}/{node.label}")
         kids = [c for c in node.children if isinstance(c, Node)]
         style = ",".join(k.label for i, k in enumerate(kids) if i == 0 or kids[i - 1].label != k.label)
-        words = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+        words = own_words(node)
         rows.append((path, xxhash.xxh64_hexdigest(style), xxhash.xxh64_hexdigest(words) if words else ""))
         if not node.dropped:
             todo.extend((k, path) for k in kids)
@@ -217,9 +238,9 @@ def site_style_tree(pages: DataFrame, config: StyleTreeConfig = StyleTreeConfig(
 def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
     """The article of a page.
 
-    Scope is the articles that lie in no other article, else ``main``, else the page. Outside
-    an article, branches in ``low`` (paths of low importance in the host's tree) go as well;
-    inside one, all that isn't a dropped element stays, also if other pages repeat it.
+    Scope is the articles that lie in no other article, else ``main``, else the page. The own
+    words of elements in ``low`` (paths of low importance in the host's tree) go; unique blocks
+    inside them stay. In an article all that isn't a dropped element stays.
     """
     root = parse(page or "")
     paths: dict[int, str] = {}

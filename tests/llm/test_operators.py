@@ -314,6 +314,13 @@ def test_low_branches_go(spark):
     assert [r["text"] for r in got] == [f"story {i} about {i * 7}" for i in range(6)] + [""]
 
 
+@pytest.mark.parametrize("tag", ["body", "main", "div"])
+def test_constant_words_of_a_wrapper_go_alone(spark, tag):
+    rows = [(i, "https://h.example/a", f"<{tag}>Skip to content<p>story {i} about {i * 7}</p></{tag}>") for i in range(6)]
+    got = html.extract(frame(spark, rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in got] == [f"story {i} about {i * 7}" for i in range(6)]
+
+
 def test_pages_equal_their_articles(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in registry.QUERIES["op7_html_extraction"](spark, SF).collect():
