@@ -240,16 +240,20 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
 
     Scope is the articles that lie in no other article, else ``main``, else the page. The own
     words of elements in ``low`` (paths of low importance in the host's tree) go; unique blocks
-    inside them stay. In an article all that isn't a dropped element stays.
+    inside them stay. In an article only blocks are judged, and their words go only if they are
+    the lesser part of its text: pages that share most of their article keep it.
     """
     root = parse(page or "")
     paths: dict[int, str] = {}
+    blocks: set[int] = set()
     articles, mains = [], []
     todo: list[tuple[Node, str, bool]] = [(root, "", False)]
     while todo:
         node, above, inside = todo.pop()
         path = xxhash.xxh64_hexdigest(f"{above}/{node.label}")
         paths[id(node)] = path
+        if node.tag in BLOCKS:
+            blocks.add(id(node))
         if node.dropped:
             continue
         if node.tag == "article" and not inside:
@@ -259,7 +263,9 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
         here = inside or node.tag == "article"
         todo.extend((k, path, here) for k in reversed(node.children) if isinstance(k, Node))
     if articles:
-        return " ".join(b for a in articles for b in blocks_of(a))
+        skip = frozenset(i for i, path in paths.items() if path in low and i in blocks)
+        whole, pruned = (" ".join(b for a in articles for b in blocks_of(a, gone)) for gone in (frozenset(), skip))
+        return pruned if 2 * len(pruned) >= len(whole) else whole
     skip = frozenset(i for i, path in paths.items() if path in low)
     return " ".join(b for a in (mains[:1] or [root]) for b in blocks_of(a, skip))
 

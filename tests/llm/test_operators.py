@@ -321,6 +321,16 @@ def test_constant_words_of_a_wrapper_go_alone(spark, tag):
     assert [r["text"] for r in got] == [f"story {i} about {i * 7}" for i in range(6)]
 
 
+def test_template_blocks_in_articles_go(spark):
+    box = "<div class=tail>Read our terms</div>"
+    rows = [(i, "https://h.example/a", f"<article><h1>Story {i}</h1><p>It is <b>about</b> number {i * 7} and more</p>{box}</article>") for i in range(6)]
+    rows += [(10 + i, "https://copies.example/a", f"<article><h1>Title {i}</h1><p>the same long text on all of the pages</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Story {i} It is about number {i * 7} and more"
+        assert got[10 + i] == f"Title {i} the same long text on all of the pages"
+
+
 def test_pages_equal_their_articles(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in registry.QUERIES["op7_html_extraction"](spark, SF).collect():
