@@ -80,7 +80,6 @@ def test_packing_is_whole(spark, docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.op1_best_fit_packing(spark, SF).toPandas()
     assert rows.doc_id.nunique() == len(texts)
     for doc_id, own in rows.sort_values("piece").groupby("doc_id"):
@@ -95,14 +94,18 @@ def test_packing_is_whole(spark, docs, texts):
     assert len(by_sequence) <= 1.1 * rows.length.sum() / 1024 + 1
 
 
-@pytest.mark.parametrize("text", ["", " ", "\n\n\t a  b", "<|endoftext|>", "日本語🙂é" * 50, "it's 12345 x" * 9, "a" * 5000, "  İẞ"])
+@pytest.mark.parametrize("text", ["", " ", "\n\n\t a  b", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext", "日本語🙂é" * 50, "it's 12345 x" * 9, "a" * 5000, "  İẞ"])
 def test_both_tokenizer_files_give_the_same_ids(text):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    assert packing.encoding().encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_a_document(spark):
+    r = packing.best_fit_packing(frame(spark, [(1, "a <|endoftext|> b")])).collect()
+    assert [(x["length"], x["ids_crc32"]) for x in r] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()))]
 
 
 # 2
