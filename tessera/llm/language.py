@@ -9,23 +9,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import table
 
-WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+WORD = re.compile(r"[^\W\d_]+")
+
+
 @dataclass(frozen=True)
 class CrfConfig:
-    """Bounds of the training sample: ``rows_per_label`` documents for each of at most
-    ``max_labels`` languages, ``words_per_row`` consecutive words from each, from a place that
-    depends on the id. Prediction uses whole texts."""
+    """Bounds of the training sample: ``rows_per_label`` documents for each language, but at most about
+    ``sample_rows`` in all, and ``words_per_row`` consecutive words from each, from a place that
+    depends on the id. Any number of languages is learned; prediction uses whole texts."""
 
     rows_per_label: int = 400
-    max_labels: int = 64
+    sample_rows: int = 25_600
     words_per_row: int = 200
     sequences: int = 4800
     sequence_words: int = 64
@@ -43,7 +45,11 @@ class CrfConfig:
 
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters, lower-cased, of the whole text."""
-    return WORD.findall((text or "").lower())
+    words = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # the word class of ``re`` also has numerals such as fractions
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 @dataclass
@@ -65,8 +71,7 @@ class CrfModel:
         """Affixes of one to three letters, inner 2- and 3-grams, the word and its lexicons."""
         marked = f"^{word}$"
         names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-        short = marked if len(marked) <= 40 else marked[:20] + marked[-20:]
-        names += {short[i : i + k] for k in (2, 3) for i in range(len(short) - k + 1)}
+        names += {marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)}
         names.append(f"w{word}")
         member = self.lexicon.get(word, 0)
         names += [f"l{k}" for k in range(len(self.labels)) if member >> k & 1]
@@ -267,15 +272,18 @@ def fold(column: str, folds: int) -> F.Column:
 def fit_language_model(docs: DataFrame, config: CrfConfig = CrfConfig(), folds: int = 5) -> CrfModel:
     """Train on rows of ``docs(doc_id, text, lang)`` outside fold 0 whose lang isn't null.
 
-    Ids are ranked by hash within their language before any text is read; only the chosen
-    ids, at most ``rows_per_label * max_labels``, are broadcast.
+    Each language takes the ids whose hash lies under its own threshold, which follows from its
+    count, so no row is ranked or shuffled by language. Only the counts, one row per language,
+    and the sample reach the driver. No such row gives a model that answers ``und``.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != 0))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.max_labels).select("lang")
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    )
-    chosen = ranked.where(F.col("r") <= config.rows_per_label).join(F.broadcast(common), "lang").select("doc_id").distinct()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return train_crf([], config)
+    wanted = max(8, min(config.rows_per_label, config.sample_rows // len(counts)))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    frame = docs.sparkSession.createDataFrame([(k, wanted / n) for k, n in counts.items()], "lang string, below double")
+    chosen = known.join(F.broadcast(frame), "lang").where(share < F.col("below"))
     limit = config.words_per_row
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,18 +292,17 @@ def fit_language_model(docs: DataFrame, config: CrfConfig = CrfConfig(), folds:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 words = words_of(text.as_py())
                 begin = zlib.crc32(str(doc_id).encode()) % max(1, len(words) - limit + 1)
-                out.append([w[:64] for w in words[begin : begin + limit]])
+                out.append(words[begin : begin + limit])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["lang"], pa.array(out, pa.list_(pa.string()))], ["doc_id", "lang", "words"]
             )
 
-    bounded = config.rows_per_label * config.max_labels
+    # ids that repeat share a hash; the limit bounds the sample even then
     rows = (
-        known.join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select(F.col("doc_id").cast("long"), "text", "lang")
+        chosen.select(F.col("doc_id").cast("long"), "text", "lang")
         .mapInArrow(sample, "doc_id long, lang string, words array<string>")
-        .orderBy("doc_id", "lang", F.xxhash64("words"))
-        .limit(bounded)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("words"))
+        .limit(2 * wanted * len(counts))
         .collect()
     )
     return train_crf([(r["lang"], list(r["words"])) for r in rows], config)
@@ -305,7 +312,9 @@ def predict_language(docs: DataFrame, model: CrfModel, folds: int = 5) -> DataFr
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs(doc_id, text, ...)``.
 
     Only the text decides. ``lang_pred`` is ``und`` with score 0 for null texts and texts
-    without letters. A null ``doc_id`` is held out, as it is never learned from.
+    without letters. Ties go to the language first by name. A null ``doc_id`` is held out, as it is
+    never learned from. Repeated rows each return; an empty table gives an empty result, and a model
+    of no labelled row ``und`` throughout. Columns besides ``doc_id`` and ``text`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
