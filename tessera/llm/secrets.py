@@ -15,31 +15,30 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-#: A whole run of token characters, 20 or more, that has a digit and a letter, with its padding.
-#: An inner "=" parts two runs.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}=*"
+#: A whole run of 20 or more token characters, with its padding. An inner "=" parts two runs.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*"
 #: The same for the parts of a run that has no encoding as a whole, in either base64 alphabet.
-PARTS = (
-    r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}",
-    r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{20,}",
-)
+PARTS = (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}")
 
+#: Index of coincidence (sum of squared letter frequencies) of the letters of natural text.
+COINCIDENCE = 0.0655
 #: Encodings in the order they are tried: name, pattern of the whole token, alphabet, and the
-#: excess of the index of coincidence of structured text (k * sum(p^2) - 1) in that alphabet.
+#: excess k * sum(p^2) - 1 of structured text over uniform text in an alphabet of k characters:
+#: decimal numbers where the alphabet is hexadecimal, natural text elsewhere.
 ENCODINGS = (
-    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 0.6),
-    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 0.6),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.3),
-    ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.2),
-    ("base64url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 3.2),
+    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 16 / 10 - 1),
+    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 16 / 10 - 1),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32 * COINCIDENCE - 1),
+    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 36 * COINCIDENCE - 1),
+    ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64 * COINCIDENCE - 1),
+    ("base64url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 64 * COINCIDENCE - 1),
 )
 
 
 @dataclass(frozen=True)
 class SecretConfig:
-    """``rate`` is the false-discovery rate in each length band; a token whose runs or serial
-    correlation a random string would show with a probability under ``reject`` is no secret."""
+    """``rate`` is the false-discovery rate in each length band, ``bands`` their least lengths. A token whose
+    sequence a random string would show with a probability under ``reject`` has no weight."""
 
     rate: float = 0.01
     reject: float = 0.001
@@ -77,12 +76,15 @@ def normal_below(z: Column) -> Column:
 
 
 def _tests(value: Column) -> Column:
-    """Length and the battery's three p-values of one token in its encoding.
+    """Length, the battery's three p-values of one token in its encoding, and the three combined.
 
     ``p_structured``: a structured string of this length and alphabet would be as uniform as
     the token (lower tail of the chi-squared statistic around its noncentral mean; longer
     tokens separate better). ``p_runs``, ``p_serial``: a random string would have such runs
-    above and below the middle of the alphabet, or such a correlation of neighbours.
+    above and below the middle of the alphabet, or such a correlation of neighbours. The last two don't
+    depend on the composition. By Fisher's method they give ``p_sequence``, uniform for random strings and small for
+    ordered ones, so twice it is a weight of mean 1 at most, and ``p`` = ``p_structured`` over this weight goes into
+    the weighted false-discovery control (Genovese, Roeder and Wasserman, 2006).
     """
     body, alphabet, k, excess = value["body"], value["code"]["alphabet"], value["code"]["k"], value["code"]["excess"]
     n = F.length(body).cast("double")
@@ -112,6 +114,12 @@ def _tests(value: Column) -> Column:
     )
 
 
+def _combined(t: Column, config: SecretConfig) -> Column:
+    both = F.least(F.greatest(t["p_runs"] * t["p_serial"], F.lit(1e-300)), F.lit(1.0))
+    sequence = both * (1 - F.log(both))
+    return F.when(sequence >= config.reject, F.least(F.lit(1.0), t["p_structured"] / (2 * sequence))).otherwise(1.0)
+
+
 def _encoding(body: Column) -> Column:
     """The first encoding whose pattern the whole token has, as (alphabet, k, excess)."""
     rows = [
@@ -160,8 +168,8 @@ def _band(length: Column, config: SecretConfig) -> Column:
     return out
 
 
-def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns in ``keep``, and ``base`` and ``added`` spans of every text.
+def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tuple[str, ...] = (), own: str = "") -> DataFrame:
+    """``doc_id``, the columns in ``keep``, and ``base`` and ``added`` spans of every text; ``own`` begins their names.
 
     Candidates of the battery are scored in one pass over the texts and written; the
     false-discovery threshold of each length band comes from counts of the p-values' tenths of
@@ -185,30 +193,35 @@ def find_spans(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: tup
         ),
     )
     scored = F.transform(placed, lambda s: F.struct(*span(s), _tests(s).alias("t")))
-    compact = F.transform(
-        scored,
-        lambda s: F.struct(
-            *span(s),
-            _band(s["t"]["length"], config).alias("band"),
-            F.least(F.lit(3000), F.floor(-10 * F.log10(F.greatest(s["t"]["p_structured"], F.lit(1e-300))))).cast("int").alias("level"),
-            ((s["t"]["p_runs"] >= config.reject) & (s["t"]["p_serial"] >= config.reject)).alias("plausible"),
-        ),
+    # the combined p-value is computed once per token, as the only element of an array
+    compact = F.flatten(
+        F.transform(
+            scored,
+            lambda s: F.transform(
+                F.array(_combined(s["t"], config)),
+                lambda p: F.struct(
+                    *span(s),
+                    _band(s["t"]["length"], config).alias("band"),
+                    F.least(F.lit(3000), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int").alias("level"),
+                ),
+            ),
+        )
     )
     bare = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    found = materialize(docs.select("doc_id", *keep, bare.alias("base"), compact.alias("candidates")), "secret-spans")
-    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.band", "c.level").count().collect()
+    found = materialize(docs.select("doc_id", *keep, bare.alias(f"{own}base"), compact.alias(f"{own}candidates")), "secret-spans")
+    counts = found.select(F.explode(f"{own}candidates").alias("c")).groupBy("c.band", "c.level").count().collect()
     threshold = {b: _benjamini_hochberg({r["level"]: r["count"] for r in counts if r["band"] == b}, config.rate) for b in range(len(config.bands))}
 
     def accepted(c: Column) -> Column:
         passes = F.lit(False)
         for band, level in threshold.items():
             passes = passes | ((c["band"] == band) & (c["level"] >= level))
-        return passes & c["plausible"] & ~F.exists("base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
+        return passes & ~F.exists(f"{own}base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
 
     added = F.transform(
-        F.filter("candidates", accepted), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
+        F.filter(f"{own}candidates", accepted), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     )
-    return found.select("doc_id", *keep, "base", _merged(added).alias("added"))
+    return found.select("doc_id", *keep, f"{own}base", _merged(added).alias(f"{own}added"))
 
 
 def _benjamini_hochberg(levels: dict[int, int], rate: float) -> int:
@@ -254,11 +267,14 @@ def secret_scan(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataF
 def redact(docs: DataFrame, mark: str = "[SECRET]", config: SecretConfig = SecretConfig()) -> DataFrame:
     """``docs`` with each maximal stretch of secret spans replaced by ``mark``.
 
-    Rows, other columns and texts without a span stay as they are; ``n_chars``, if present,
-    is set anew.
+    Rows, repeated ones too, columns of any other names and texts without a span, null ones too, stay as they are;
+    ``n_chars``, if present, is set anew. An empty table gives an empty result.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "base", "added"))
-    spans = find_spans(docs, config, others)
+    own = "_sc_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    base, added = f"{own}base", f"{own}added"
+    spans = find_spans(docs, config, tuple(c for c in docs.columns if c != "doc_id"), own)
     text = F.col("text").cast("string")
 
     def step(state: Column, span: Column) -> Column:
@@ -269,9 +285,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", config: SecretConfig = Secre
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(
-        F.array_sort(F.concat("base", "added")), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+        F.array_sort(F.concat(base, added)), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     )
-    new = F.when(F.size("base") + F.size("added") > 0, clean).otherwise(text)
+    new = F.when(F.size(base) + F.size(added) > 0, clean).otherwise(text)
     out = spans.withColumn("text", new).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -230,6 +230,86 @@ def test_secrets_inside_assignments_and_paths(spark):
     assert all(key not in t and url not in t and "[SECRET]" in t for i, t in clean.items() if i < 4)
 
 
+def _normal_below(z):
+    import math
+
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def _battery(body):
+    """The combined p-value of one token, in plain Python."""
+    import math
+
+    alphabet, excess = next((a, x) for _, pattern, a, x in secrets.ENCODINGS if re.search(pattern, body))
+    k, n = len(alphabet), len(body)
+    places = [alphabet.index(c) for c in body]
+    chi = sum(places.count(p) ** 2 for p in set(places)) * k / n - n
+    p_structured = _normal_below((chi - (k - 1) - excess * n) / math.sqrt(2 * (k - 1 + 2 * excess * n)))
+    high = [p >= k / 2 for p in places]
+    mu = 1 + 2 * sum(high) * (n - sum(high)) / n
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    p_runs = 2 * _normal_below(-abs((runs - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9))))
+    d = [p - (k - 1) / 2 for p in places]
+    p_serial = 2 * _normal_below(-abs(sum(a * b for a, b in zip(d, d[1:])) / max(sum(x * x for x in d), 1e-9) * math.sqrt(n)))
+    both = min(1, max(p_runs * p_serial, 1e-300))
+    sequence = both * (1 - math.log(both))
+    return min(1, p_structured / (2 * sequence)) if sequence >= 0.001 else 1.0
+
+
+def _planted():
+    """Random tokens of every encoding, and structured ones, each in a sentence of its own."""
+    rng, words = random.Random(12), "river stone market garden winter silver copper yellow planet window number branch".split()
+    rows = []
+    for i in range(60):
+        _, _, alphabet, _ = secrets.ENCODINGS[2 + i % 4]
+        rows.append((True, "".join(rng.choice(alphabet) for _ in range(rng.choice([32, 40, 64])))))
+        joint = rng.choice(["", "_", "-", "/"])
+        rows.append((False, joint.join(rng.choice(words) for _ in range(6)) + str(rng.randrange(1000))))
+        rows.append((False, rng.choice(["0123456789" * 3, "abcdefghijklmnopqrstuvwxyz0123", "-" * 30, "aB3" * 10, str(10**25 + i)])))
+    return rows
+
+
+def test_battery_equals_plain_python_and_finds_planted_tokens(spark):
+    rows = _planted()
+    got = {r["doc_id"]: r for r in secrets.secret_scan(frame(spark, [(i, f"see {t} here") for i, (_, t) in enumerate(rows)])).collect()}
+    levels = {}
+    for i, (_, token) in enumerate(rows):
+        if got[i]["n_hex"] or not any(re.search(e[1], token) for e in secrets.ENCODINGS):
+            continue  # the base's, or tested by parts
+        levels[i] = (sum(len(token) >= b for b in secrets.SecretConfig.bands), -10 * np.log10(max(_battery(token), 1e-300)))
+    by_band = {b: sorted((level for band, level in levels.values() if band == b), reverse=True) for b in (1, 2, 3)}
+    sure = 0
+    for i, (band, level) in levels.items():
+        own = by_band[band]
+        passing = [x for r, x in enumerate(own, 1) if 10 ** (-np.floor(x) / 10) <= 0.01 * r / len(own)]
+        if not passing or abs(level - min(passing)) > 1.5:  # not at the threshold itself, where rounded levels and parts may differ
+            assert (got[i]["n_random"] > 0) == bool(passing and level >= min(passing)), rows[i]
+            sure += 1
+    assert sure > 100
+    flagged = [rows[i][0] for i, r in got.items() if r["n_random"]]
+    found = [r["n_random"] > 0 for i, r in got.items() if rows[i][0] and not r["n_hex"]]
+    assert np.mean(flagged) >= 0.95 and np.mean(found) >= 0.7
+
+
+def test_base_spans_equal_a_plain_scan(spark, texts):
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in registry.QUERIES["op4_secret_scan"](spark, SF).collect():
+        text = texts[r["doc_id"]] or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        written = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert [r[c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, j, _ in spans) for k in range(3)]
+
+
+def test_redact_keeps_columns_of_any_names(spark):
+    df = frame(spark, [(1, "password=abcdef12"), (2, None), (3, "plain")]).select("*", *(F.lit(c).alias(c) for c in ("base", "added", "candidates", "_sc_base")))
+    got = sorted(secrets.redact(df).collect())
+    assert [r["text"] for r in got] == ["[SECRET]", None, "plain"]
+    assert all(r[c] == c for r in got for c in ("base", "added", "candidates", "_sc_base")) and secrets.redact(df).columns == df.columns
+
+
 def test_false_discovery_threshold():
     assert secrets._benjamini_hochberg({}, 0.01) > 10**6
     assert secrets._benjamini_hochberg({0: 90, 50: 10}, 0.01) == 50
@@ -298,7 +378,17 @@ def test_language_on_held_out(spark, docs):
     got = registry.QUERIES["op6_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
     model = language.fit_language_model(docs)
-    assert language.predict_language(frame(spark, [(1, None), (2, "12 34 !")]), model).select("lang_pred", "score").collect() == [("und", 0.0)] * 2
+    assert language.predict_language(frame(spark, [(1, None), (2, "12 34 !"), (3, "½ ²"), (4, "")]), model).select("lang_pred", "score").collect() == [("und", 0.0)] * 4
+
+
+def test_many_languages_none_and_repeated_ids(spark):
+    rows = [(i, f"w{chr(97 + i % 70 // 26)}{chr(97 + i % 26)} x{chr(97 + i % 70 // 26)}{chr(97 + i % 26)}", f"l{i % 70}") for i in range(1400)]
+    model = language.fit_language_model(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 70
+    none = language.fit_language_model(frame(spark, [(1, "a b", None)], "doc_id long, text string, lang string"))
+    assert [tuple(r)[2:] for r in language.predict_language(frame(spark, [(1, "a b")]), none).collect()] == [("und", 0.0)]
+    same = frame(spark, [(7, f"word number {i}", "en") for i in range(3000)], "doc_id long, text string, lang string")
+    assert language.fit_language_model(same).labels in (["en"], [])
 
 
 # 7
