@@ -407,6 +407,70 @@ def test_low_branches_go(spark):
     assert [r["text"] for r in got] == [f"story {i} about {i * 7}" for i in range(6)] + [""]
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p class=it's>hello</p><p>it's fine</p></article>", "hello it's fine"),
+        ('<p title="x>one', "one"),
+        ("<p title='a>b'>one</p><p data-x = \"<p>\">two", "one two"),
+        ("<p a=b/c>one<br/>two<img src=x.png>three <", "one twothree <"),
+        ("<p>x <math><mi>a</mi><mo>=</mo><mn>1</mn></math> y <object>z</object></p>", "x a=1 y z"),
+        ('<div class="related-work"><p>earlier papers</p></div><div class="related-posts">see also</div><p id=comments-list>hi</p>', "earlier papers"),
+        ("a <b", "a"),
+        ("1 < 2 && <3 <!-- x -- > --> &lt;b&gt; <!DOCTYPE x> <![CDATA[ y ]]> end", "1 < 2 && <3 <b> end"),
+        ("<p =x ='y' z==w>one</p =>two", "one two"),
+    ],
+)
+def test_odd_markup_loses_no_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_style_tree_equals_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for i in range(9):
+        parts = [f"<p class=c{rng.randrange(2)}>{rng.choice(['same words here', f'own {i}', ''])}</p>" for _ in range(rng.randrange(1, 4))]
+        pages.append(f"<div class=box><b>fixed</b>{''.join(parts)}</div><ul><li>a</li><li>{i % 2}</li></ul>")
+    rows = [(i, "https://h.example/x", p) for i, p in enumerate(pages)]
+    got = {r["path"]: r for r in html.site_style_tree(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    seen = {}
+    for p in pages:
+        for path, above, style, content, words in set(html.style_rows(html.parse(p))):
+            seen.setdefault(path, []).append((above, style, content, words))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n == 1 else -sum(values.count(v) / n * np.log(values.count(v) / n) for v in set(values)) / np.log(n)
+
+    shape = {path: entropy([r[1] for r in rs]) for path, rs in seen.items()}
+    words = {path: sum(r[3] for r in rs) for path, rs in seen.items()}
+    own = {path: 0.1 * shape[path] + 0.9 * entropy([r[2] for r in rs]) for path, rs in seen.items() if words[path]}
+    assert set(got) == set(seen)
+    for path, rs in seen.items():
+        below = [(own[q], words[q] * 0.9 ** (qs[0][0].index(path) + 1)) for q, qs in seen.items() if q in own and path in qs[0][0]]
+        below += [(own[path], words[path])] if path in own else []
+        said = sum(x * w for x, w in below) / sum(w for _, w in below) if below else shape[path]
+        r = got[path]
+        assert r["pages"] == len(rs) and np.isclose(r["importance"], 0.1 * shape[path] + 0.9 * said)
+        assert r["own"] is None if path not in own else np.isclose(r["own"], own[path])
+
+
+def test_branches_of_low_importance_go_whole(spark):
+    foot = "<div class=bottom><p>About us and our terms</p><ul><li>Contact</li></ul><em>page {}</em></div>"
+    rows = [(i, "https://h.example/a", f"<div class=top><p>Story {i} tells {i * 7}</p><p>and more of {i}</p></div>" + foot.format(i % 2)) for i in range(8)]
+    got = html.extract(frame(spark, rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in got] == [f"Story {i} tells {i * 7} and more of {i}" for i in range(8)]
+
+
+def test_odd_and_empty_page_tables(spark):
+    rows = [(1, "https://h.example/a", "<p>x</p>"), (1, "https://h.example/a", "<p>x</p>"), (None, None, "<p>y</p>"), (2, "no url", None), (3, "", ""), (4, "https://h.example/b", "<p>" + "word " * 100_000)]
+    df = frame(spark, rows, "page_id long, url string, html string").select("*", *(F.lit("z").alias(c) for c in ("host", "path", "judged", "verdict", "text", "n_chars")))
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect()]
+    want = [(1, "x", 1), (1, "x", 1), (None, "y", 1), (2, "", 0), (3, "", 0), (4, ("word " * 100_000).strip(), 499_999)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("tag", ["body", "main", "div"])
 def test_constant_words_of_a_wrapper_go_alone(spark, tag):
     rows = [(i, "https://h.example/a", f"<{tag}>Skip to content<p>story {i} about {i * 7}</p></{tag}>") for i in range(6)]
