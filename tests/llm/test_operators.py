@@ -525,6 +525,52 @@ def test_neutral_mentions_of_a_skewed_group(spark):
     assert toxicity.words_of("Muslims germany lesbians understanding") == {"muslim", "germany", "lesbian", "understanding", "under-"}
 
 
+def test_terms_of_four_languages_and_their_forms():
+    same = {"Musliminnen": "muslime", "Jüdin": "juden", "musulmanas": "musulmanes", "judía": "judíos", "juives": "juifs", "chrétienne": "chrétiens", "Türkin": "türken", "women": "women"}
+    for form, term in same.items():
+        assert toxicity.words_of(form) == {term}, form
+    assert all(len(g) > 1 for g in toxicity.GROUPS) and set(toxicity.MENTIONS) == set(toxicity.IDENTITY_TERMS)
+
+
+def test_gradient_of_the_penalty_is_that_of_differences():
+    """One step from zero moves each weight against the sign of the loss's numeric gradient."""
+    words = ["idiot", "women", "men", "friends"]
+    rows = [(1, [0, 1]), (0, [2]), (0, []), (1, [0])]
+    config = toxicity.ToxicityConfig(steps=1, mentions=0, swap_weight=5.0, l2=0.0)
+    x, y = np.zeros((4, 4)), np.array([1, 0, 0, 1])
+    for i, (_, own) in enumerate(rows):
+        x[i, own] = 1
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        swapped = x.copy()
+        swapped[[0, 1]] = swapped[[0, 1]][:, [0, 2, 1, 3]]
+        q = 1 / (1 + np.exp(-(swapped @ w)))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 5.0 * np.mean((q[:2] - p[:2]) ** 2)
+
+    numeric = np.array([(loss(1e-5 * e) - loss(-1e-5 * e)) / 2e-5 for e in np.eye(4)])
+    moved = toxicity.train(rows, words, config).weights
+    assert (np.sign(moved[:3]) == -np.sign(numeric[:3])).all() and moved[3] == 0
+
+
+@pytest.mark.parametrize("sentence", ["les musulmans de notre rue sont venus dîner", "hier wohnen viele juden", "hay muchos gitanos en el barrio", "my muslim friends came"])
+def test_neutral_mentions_where_no_row_has_a_term(spark, sentence):
+    """Words of neutral mentions are skewed in the data, terms don't occur: mentions added to the rows level the scores."""
+    rng = random.Random(5)
+    skewed = sorted({w for m in sum(toxicity.MENTIONS.values(), ()) for w in toxicity.words_of(m.replace("{}", ""))})
+    docs, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        words = [f"word{c}" for c in rng.sample("abcdefghij", 4)] + rng.sample(skewed, 8 if toxic else 1)
+        docs.append((i, " ".join([*words, *(["idiot"] * (toxic and rng.random() < 0.8))])))
+        labels.append((i, int(toxic)))
+    frames = frame(spark, docs), frame(spark, labels, "doc_id long, toxic int")
+    free, held = (toxicity.fit_toxicity_model(*frames, toxicity.ToxicityConfig(swap_weight=w, mentions=8)) for w in (0.0, 20.0))
+    assert held.swaps == 0 and held.mentions > 800
+    words, rest = toxicity.words_of(sentence), toxicity.words_of("worda wordb")
+    assert held.score(words) - held.score(rest) < 0.5 * (free.score(words) - free.score(rest)) and held.score({"idiot"}) > held.score(words)
+
+
 def test_toxicity_on_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = registry.QUERIES["op8_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
