@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Distances that a kernel holds at once.
+TILE = 1 << 22
+
+
 def l2sqr(a: Column | str, b: Column | str) -> Column:
     """Left fold of squared differences in double precision."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -49,5 +54,12 @@ def l2sqr_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """A list column of equal lengths as doubles, (rows, dim)."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    """A list column as doubles, (rows, dim); a null, a NaN or another length is an error."""
+    flat = column.flatten()
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if column.null_count or flat.null_count or not (lengths == dim).all():
+        raise ValueError(f"expected {dim} finite numbers in each vector")
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    if np.isnan(x).any():
+        raise ValueError(f"expected {dim} finite numbers in each vector")
+    return x

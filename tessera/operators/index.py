@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .config import IVFConfig, IVFPQConfig, check_probes, validated
 from .evaluate import list_sizes, searched_counts, truth_per_cell
 from .kmeans import assign, center_table, training_sample
+from .postings import write_postings
 from .quantizer import Quantizer
-from .search import coarse_topw, probe, probe_codes
+from .search import coarse_topw, of_cells, probe, probe_codes
+from .shared import shared_path
 
 
 class IVFIndex:
     """Cells of a coarse codebook, each with the vectors nearest to its center.
 
-    ``train``, then ``populate``; ``populate`` replaces what was there, ``append`` adds.
+    ``train``, then ``populate``; ``populate`` replaces what was there, ``append`` adds. Both write the postings, so that
+    vectors are assigned once and a search reads only the partitions of the cells it probes.
     Results are DataFrames ``qid, rank, vec_id, dist`` with squared distances, ties by id,
     and fewer than k rows where the probed cells hold fewer.
     """
@@ -27,6 +29,9 @@ class IVFIndex:
         self.config = config
         self.coarse: np.ndarray | None = None
         self.postings: DataFrame | None = None
+        self.path: str | None = None
+        #: A partition of the postings holds the cells of one quotient of ``cid`` by this; there are 1,024 at most.
+        self.per_part = -(-config.kc // 1024)
 
     def train(self, vectors: DataFrame, init: str | list[int] = "points", whole: bool = False) -> IVFIndex:
         """Centers of a sample, or of all vectors if ``whole``; start points by id are looked up in all."""
@@ -38,12 +43,21 @@ class IVFIndex:
     def _training(self, vectors: DataFrame, whole: bool) -> DataFrame:
         return vectors if whole else training_sample(vectors, self.config.sample_rows, self.config.seed)
 
-    def populate(self, vectors: DataFrame) -> IVFIndex:
-        self.postings = self._posted(vectors)
-        return self
+    def populate(self, vectors: DataFrame, path: str | None = None) -> IVFIndex:
+        """Write the postings of the vectors to ``path``, or to a path of their own in the shared folder."""
+        spark = vectors.sparkSession
+        self.path = path or shared_path(spark, "postings")
+        return self.attach(write_postings(self._posted(vectors), self.path, self.per_part, "overwrite"))
 
     def append(self, vectors: DataFrame) -> IVFIndex:
-        self.postings = self._populated().unionByName(self._posted(vectors))
+        self._populated()
+        if self.path is None:
+            raise RuntimeError("postings that this index didn't write can't be added to")
+        return self.attach(write_postings(self._posted(vectors), self.path, self.per_part, "append"))
+
+    def attach(self, postings: DataFrame) -> IVFIndex:
+        """Search these postings: ``cid, vec_id`` and the payload, in partitions ``part``."""
+        self.postings = postings
         return self
 
     def _posted(self, vectors: DataFrame) -> DataFrame:
@@ -59,7 +73,7 @@ class IVFIndex:
 
     def search_cells(self, topw: DataFrame, k: int) -> DataFrame:
         """Search given cells ``(qid, cid, q)``; a cell asked for twice is scanned once."""
-        return probe(self._populated(), topw, self.config.dim, k)
+        return probe(self._populated(), topw, self.config.dim, k, self.per_part)
 
     def sizes(self) -> DataFrame:
         return list_sizes(self._populated(), self.config.kc)
@@ -71,7 +85,7 @@ class IVFIndex:
         """Postings of the given cells; on a stored index only their partitions are read."""
         if bad := [c for c in cells if not 0 <= c < self.config.kc]:
             raise ValueError(f"no such cells: {bad}")
-        return self._populated().where(F.col("cid").isin(sorted(set(cells))))
+        return of_cells(self._populated(), sorted(set(cells)), self.per_part).drop("part")
 
     def observe(self, truth: DataFrame) -> DataFrame:
         """How many of each query's true neighbours every cell holds."""
@@ -113,7 +127,7 @@ class IVFPQIndex(IVFIndex):
         return self.pq.encode(posted, ("cid",)).select("vec_id", "cid", "code")
 
     def search_cells(self, topw: DataFrame, k: int) -> DataFrame:
-        return probe_codes(self._populated(), topw, self.pq._trained(), k)
+        return probe_codes(self._populated(), topw, self.pq._trained(), k, self.per_part)
 
     def search_all(self, queries: DataFrame, k: int) -> DataFrame:
         """Asymmetric distances to everything."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import l2sqr_block, matrix
+from ..functions.distance import TILE, l2sqr_block, matrix
 from .config import check_broadcast
 
 
@@ -18,9 +18,10 @@ def subspaces(flat: np.ndarray, m: int) -> np.ndarray:
     return flat.reshape(len(flat), m, -1).transpose(1, 0, 2)
 
 
-def nearest(x: np.ndarray, centers: np.ndarray, block: int = 4096) -> np.ndarray:
-    """Index of the nearest center of each row; ties go to the lowest index."""
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Index of the nearest center of each row, by blocks of bounded size; ties go to the lowest index."""
     out = np.empty(len(x), np.int32)
+    block = max(1, TILE // max(1, len(centers)))
     for at in range(0, len(x), block):
         out[at : at + block] = l2sqr_block(x[at : at + block], centers).argmin(axis=1)
     return out
@@ -57,7 +58,8 @@ def lloyd(vectors: DataFrame, initial: np.ndarray, iterations: int) -> np.ndarra
 
     ``initial`` is (m, k, dim / m): the m subspaces of a vector train together, one job a
     round. Tasks send sums and counts per center, m * k rows each at most; an empty center
-    stays where it is. The codebook (m * k * dim / m numbers) is all that reaches the driver.
+    stays where it is. The codebook (m * k * dim / m numbers) is all that reaches the driver. Sums are in double
+    precision and centers in single, so the order in which tasks' sums arrive can show in a last bit at most.
     """
     check_broadcast(initial.nbytes, "the centers")
     m, k, width = initial.shape
@@ -107,9 +109,16 @@ def initial_points(vectors: DataFrame, k: int, dim: int, init: str | list[int] =
 
 
 def training_sample(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
-    """At least 100,000 rows, or all that there are, chosen by a seeded hash of the id."""
+    """About ``rows`` vectors, 100,000 at least, or all that there are, chosen by a seeded hash of the id.
+
+    A threshold of the hash picks them, with some to spare, so they stay in the partitions they come from.
+    """
     wanted = max(rows, 100_000)
-    return vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(wanted)
+    n = vectors.count()
+    if n <= wanted:
+        return vectors
+    below = int((1 << 40) * min(1.0, (wanted + 5 * wanted**0.5) / n))
+    return vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40)) < below)
 
 
 def center_table(spark, centers: np.ndarray, name: str = "cid") -> DataFrame:

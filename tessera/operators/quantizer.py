@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import matrix
+from .config import check_broadcast
 from .kmeans import initial_points, lloyd, nearest, subspaces
 
 
@@ -43,6 +44,7 @@ class Quantizer:
 
     def encode(self, vectors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``vec_id, code`` and the columns in ``keep``; ``code`` has one byte value per subspace."""
+        check_broadcast(self._trained().nbytes, "the codebook")
         shared = vectors.sparkSession.sparkContext.broadcast(self._trained())
         dim, m = self.dim, self.m
 

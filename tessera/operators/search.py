@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import l2sqr_block, matrix
-from .config import BROADCAST_BYTES
+from ..functions.distance import TILE, l2sqr_block, matrix
+from .config import BROADCAST_BYTES, check_broadcast, validated
 
 RESULT = "qid long, vec_id long, dist double"
 
@@ -51,12 +51,21 @@ def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "vec_id", "dist"])
 
 
+def _nearest_of_block(x: np.ndarray, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per query the k best of some vectors, by tiles of queries that bound the distances held at once."""
+    step = max(1, TILE // max(1, len(x)))
+    for at in range(0, len(qid), step):
+        yield from _best(qid[at : at + step], ids, l2sqr_block(x, q[at : at + step]), k)
+
+
 def exact_knn(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """``qid, rank, vec_id, dist``: one pass over the vectors for each block of queries.
 
     A batch sends its k best per query at most, so what is shuffled doesn't grow with the
-    vectors' width. A query set that fits a broadcast is one block.
+    vectors' width. A query set that fits a broadcast is one block. Vectors and queries that are null, hold a null or a
+    NaN or have another length are errors.
     """
+    queries = validated(queries, dim, "q")
 
     def one(part: DataFrame) -> DataFrame:
         rows = part.select("qid", "q").orderBy("qid").collect()
@@ -67,8 +76,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
             qid, q = shared.value
             for batch in batches:
                 if batch.num_rows and len(qid):
-                    dist = l2sqr_block(matrix(batch["embedding"], dim), q)
-                    yield _batch(list(_best(qid, batch["vec_id"].to_numpy(), dist, k)))
+                    yield _batch(list(_nearest_of_block(matrix(batch["embedding"], dim), batch["vec_id"].to_numpy(), qid, q, k)))
 
         return top_k(vectors.select("vec_id", "embedding").mapInArrow(run, RESULT), k).select("qid", "rank", "vec_id", "dist")
 
@@ -77,11 +85,13 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
 
 def coarse_topw(queries: DataFrame, centers: np.ndarray, w: int) -> DataFrame:
     """``qid, rank, cid, q``: the w nearest cells of each query, nearest first."""
+    check_broadcast(centers.nbytes, "the centers")
     shared = queries.sparkSession.sparkContext.broadcast(centers)
     dim = centers.shape[1]
+    step = max(1, TILE // len(centers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             dist = l2sqr_block(matrix(batch["q"], dim), shared.value)
             cid = np.argsort(dist, axis=1, kind="stable")[:, :w]
             n, kept = cid.shape
@@ -94,88 +104,125 @@ def coarse_topw(queries: DataFrame, centers: np.ndarray, w: int) -> DataFrame:
     return queries.select("qid", F.col("q").cast("array<float>").alias("q")).mapInArrow(run, "qid long, rank int, cid int, q array<float>")
 
 
-def _asked(probes: DataFrame) -> tuple[dict[int, list[int]], dict[int, np.ndarray]]:
-    """Queries by the cells they ask for, and their vectors."""
+#: Scores some rows of one cell against some queries: (payload column, ids, query ids, queries, k) to the best per query.
+Kernel = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, int], Iterator[tuple[np.ndarray, ...]]]
+
+
+def _probed(postings: DataFrame, topw: DataFrame, payload: str, dim: int, k: int, kernel: Kernel, per_part: int | None) -> DataFrame:
+    """``qid, rank, vec_id, dist`` over the cells in ``topw(qid, cid, q)``; repeats count once.
+
+    Probes that fit a broadcast are sent to the postings, which stay where they are. More of them
+    are joined with the postings by cell (:func:`_by_cell`).
+    """
+    probes = topw.select("qid", "cid", "q").dropDuplicates(["qid", "cid"])
+    most = BROADCAST_BYTES // ((dim + 2) * 8)
+    rows = probes.limit(most + 1).collect()
+    found = _by_cell(postings, probes, payload, dim, k, kernel) if len(rows) > most else _by_broadcast(postings, rows, payload, k, kernel, per_part)
+    return top_k(found, k).select("qid", "rank", "vec_id", "dist")
+
+
+def _by_broadcast(postings: DataFrame, rows: list, payload: str, k: int, kernel: Kernel, per_part: int | None) -> DataFrame:
+    """Each batch of postings sends its k best per query. A stored index reads only the partitions of the cells asked for."""
     cells: dict[int, list[int]] = defaultdict(list)
     vectors: dict[int, np.ndarray] = {}
-    for r in probes.orderBy("cid", "qid").collect():
+    for r in sorted(rows, key=lambda r: (r["cid"], r["qid"])):
         cells[r["cid"]].append(r["qid"])
         vectors[r["qid"]] = np.array(r["q"], np.float64)
-    return dict(cells), vectors
+    shared = postings.sparkSession.sparkContext.broadcast((dict(cells), vectors))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queries = shared.value
+        for batch in batches:
+            cid, ids = batch["cid"].to_numpy(), batch["vec_id"].to_numpy()
+            for c in np.unique(cid):
+                if qids := own.get(int(c)):
+                    at = np.flatnonzero(cid == c)
+                    found = list(kernel(batch[payload].take(pa.array(at)), ids[at], np.array(qids, np.int64), np.stack([queries[q] for q in qids]), k))
+                    yield _batch(found)
 
-def _pruned(postings: DataFrame, cells: dict[int, list[int]]) -> DataFrame:
-    """Only the cells asked for; on a stored index, only their partitions."""
-    return postings.where(F.col("cid").isin(sorted(cells))) if len(cells) <= 1000 else postings
+    return of_cells(postings, sorted(cells), per_part).select("cid", "vec_id", payload).mapInArrow(run, RESULT)
 
 
-def probe(postings: DataFrame, topw: DataFrame, dim: int, k: int) -> DataFrame:
-    """``qid, rank, vec_id, dist`` over the cells in ``topw(qid, cid, q)``; repeats count once.
+def of_cells(postings: DataFrame, cells: list[int], per_part: int | None) -> DataFrame:
+    """Postings of the cells: on a stored index by its partitions, whatever their number, and by cell."""
+    if per_part:
+        postings = postings.where(F.col("part").isin(sorted({c // per_part for c in cells})))
+    return postings.where(F.col("cid").isin(cells))
 
-    A block of probes is broadcast and its cells are pushed into the scan; each batch of
-    postings sends its k best per query. The vectors aren't shuffled, so a crowded cell is
-    just more batches.
-    """
-    probes = topw.select("qid", "cid", "q").dropDuplicates(["qid", "cid"])
 
-    def one(part: DataFrame) -> DataFrame:
-        cells, vectors = _asked(part)
-        shared = postings.sparkSession.sparkContext.broadcast((cells, vectors))
+def _by_cell(postings: DataFrame, probes: DataFrame, payload: str, dim: int, k: int, kernel: Kernel, most_rows: int = 50_000, most_probes: int = 5_000) -> DataFrame:
+    """Probes and postings meet by cell. A crowded cell, or one that many queries ask for, is a grid of tasks:
+    its postings are dealt to rows of the grid and its probes to columns, of bounded size each."""
+    n = postings.groupBy("cid").agg(F.count("*").alias("n"))
+    m = probes.groupBy("cid").agg(F.count("*").alias("m"))
+    grid = n.join(m, "cid").select("cid", F.ceil(F.col("n") / most_rows).cast("int").alias("down"), F.ceil(F.col("m") / most_probes).cast("int").alias("across"))
+    each = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    left = postings.join(grid, "cid").select("cid", F.pmod(F.xxhash64("vec_id"), "down").cast("int").alias("i"), each("across").alias("j"), "vec_id", payload)
+    right = probes.join(grid, "cid").select("cid", F.pmod(F.xxhash64("qid"), "across").cast("int").alias("j"), each("down").alias("i"), "qid", "q")
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(rows) or not len(asked):
+            return pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        queries = matrix(asked["q"].combine_chunks(), dim)
+        found = kernel(rows[payload].combine_chunks(), rows["vec_id"].to_numpy(), asked["qid"].to_numpy(), queries, k)
+        return pa.Table.from_batches([_batch(list(found))])
+
+    keys = ["cid", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, RESULT)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, queries = shared.value
-            for batch in batches:
-                cid, ids = batch["cid"].to_numpy(), batch["vec_id"].to_numpy()
-                x = matrix(batch["embedding"], dim)
-                for c in np.unique(cid):
-                    if qids := own.get(int(c)):
-                        rows = cid == c
-                        dist = l2sqr_block(x[rows], np.stack([queries[q] for q in qids]))
-                        yield _batch(list(_best(np.array(qids, np.int64), ids[rows], dist, k)))
 
-        return top_k(_pruned(postings, cells).select("cid", "vec_id", "embedding").mapInArrow(run, RESULT), k).select("qid", "rank", "vec_id", "dist")
+def probe(postings: DataFrame, topw: DataFrame, dim: int, k: int, per_part: int | None = None) -> DataFrame:
+    """``qid, rank, vec_id, dist`` over the cells in ``topw(qid, cid, q)``, by distance to the vectors."""
 
-    return _union([one(part) for part in blocks(probes, (dim + 2) * 8)])
+    def kernel(payload: pa.Array, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        return _nearest_of_block(matrix(payload, dim), ids, qid, q, k)
 
+    return _probed(postings, topw, "embedding", dim, k, kernel, per_part)
 
-def probe_codes(postings: DataFrame, topw: DataFrame, codebook: np.ndarray, k: int) -> DataFrame:
+
+def probe_codes(postings: DataFrame, topw: DataFrame, codebook: np.ndarray, k: int, per_part: int | None = None) -> DataFrame:
     """As :func:`probe`, by asymmetric distance: table look-ups summed over the subspaces.
 
     ``postings`` are (cid, vec_id, code); vectors aren't read. A query's table of distances
-    to the codebook (m, ks) is made once per task from the broadcast queries.
+    to the codebook (m, ks) is made where it is needed.
     """
     m, _, width = codebook.shape
-    probes = topw.select("qid", "cid", "q").dropDuplicates(["qid", "cid"])
+    check_broadcast(codebook.nbytes, "the codebook")
+    shared = postings.sparkSession.sparkContext.broadcast(codebook)
 
-    def one(part: DataFrame) -> DataFrame:
-        cells, vectors = _asked(part)
-        shared = postings.sparkSession.sparkContext.broadcast((cells, vectors, codebook))
+    def kernel(payload: pa.Array, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        codes = payload.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+        for one, vector in zip(qid, q):
+            table = distance_table(vector, shared.value)
+            dist = np.zeros(len(codes))
+            for s in range(m):
+                dist += table[s][codes[:, s]]
+            yield from _best(np.array([one]), ids, dist[:, None], k)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, queries, book = shared.value
-            tables: dict[int, np.ndarray] = {}
-            for batch in batches:
-                cid, ids = batch["cid"].to_numpy(), batch["vec_id"].to_numpy()
-                codes = batch["code"].flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-                for c in np.unique(cid):
-                    found = []
-                    rows = np.flatnonzero(cid == c)
-                    for q in own.get(int(c), ()):
-                        if q not in tables:
-                            tables[q] = distance_table(queries[q], book)
-                        dist = np.zeros(len(rows))
-                        for s in range(m):
-                            dist += tables[q][s][codes[rows, s]]
-                        found += list(_best(np.array([q]), ids[rows], dist[:, None], k))
-                    if found:
-                        yield _batch(found)
-
-        return top_k(_pruned(postings, cells).select("cid", "vec_id", "code").mapInArrow(run, RESULT), k).select("qid", "rank", "vec_id", "dist")
-
-    return _union([one(part) for part in blocks(probes, (m * width + 2) * 8)])
+    return _probed(postings, topw, "code", m * width, k, kernel, per_part)
 
 
 def distance_table(q: np.ndarray, codebook: np.ndarray) -> np.ndarray:
     """(m, ks): squared distance of each part of q to each code's center."""
     m, _, width = codebook.shape
     return np.stack([l2sqr_block(q[None, s * width : (s + 1) * width], codebook[s])[0] for s in range(m)])
+
+
+def distance_tables(queries: DataFrame, codebook: np.ndarray) -> DataFrame:
+    """``qid, m, ks, dist``: the distance table of every query ``(qid, q)``."""
+    check_broadcast(codebook.nbytes, "the codebook")
+    shared = queries.sparkSession.sparkContext.broadcast(codebook)
+    m, k, width = codebook.shape
+    step = max(1, TILE // (m * k))
+    part, code = (i.ravel().astype(np.int32) for i in np.indices((m, k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            q = matrix(batch["q"], m * width)
+            dist = np.stack([l2sqr_block(q[:, s * width : (s + 1) * width], shared.value[s]) for s in range(m)], 1)
+            n = len(q)
+            yield pa.RecordBatch.from_arrays(
+                [batch["qid"].take(pa.array(np.repeat(np.arange(n), m * k))), pa.array(np.tile(part, n)), pa.array(np.tile(code, n)), pa.array(dist.ravel())], ["qid", "m", "ks", "dist"]
+            )
+
+    return queries.select("qid", "q").mapInArrow(run, "qid long, m int, ks int, dist double")

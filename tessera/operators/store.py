@@ -9,46 +9,43 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .config import IVFConfig, IVFPQConfig
 from .index import IVFIndex, IVFPQIndex
+from .postings import write_postings
 from .quantizer import Quantizer
 
 
-def save(index: IVFIndex, path: str, spark: SparkSession, cells_per_partition: int = 1) -> None:
-    """Write an index; postings lie in ``part=cid div cells_per_partition``, sorted by cell.
-
-    The postings are dealt by cell and a salt of the id, so a crowded cell is several files.
-    """
-    kind = "ivfpq" if isinstance(index, IVFPQIndex) else "ivf"
-    meta = json.dumps({"kind": kind, "cells_per_partition": cells_per_partition, "config": asdict(index.config)})
+def save(index: IVFIndex, path: str, spark: SparkSession, cells_per_partition: int | None = None) -> None:
+    """Write an index; postings lie in ``part=cid div cells_per_partition``, sorted by cell."""
+    kind, per_part = "ivfpq" if isinstance(index, IVFPQIndex) else "ivf", cells_per_partition or index.per_part
+    meta = json.dumps({"kind": kind, "cells_per_partition": per_part, "config": asdict(index.config)})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     index.codebook(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/coarse")
     if kind == "ivfpq":
         index.pq.codebook(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/pq")
     if index.postings is not None:
-        rows = index.postings.withColumn("part", F.expr(f"cid div {cells_per_partition}"))
-        rows.repartition("part", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("part", "cid", "vec_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        write_postings(index.postings.drop("part"), f"{path}/postings", per_part, "overwrite")
 
 
 def load(path: str, spark: SparkSession) -> IVFIndex:
     """Read an index; its postings are scanned when they are searched, pruned to the cells asked for."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     index = IVFPQIndex(IVFPQConfig(**meta["config"])) if meta["kind"] == "ivfpq" else IVFIndex(IVFConfig(**meta["config"]))
+    index.per_part = meta["cells_per_partition"]
     centers = spark.read.parquet(f"{path}/coarse").orderBy("cid").collect()
     index.coarse = np.array([r["center"] for r in centers], np.float64)
     if meta["kind"] == "ivfpq":
         index.pq = Quantizer.from_codebook(spark.read.parquet(f"{path}/pq"))
-    try:
-        index.postings = spark.read.parquet(f"{path}/postings").drop("part") if meta["cells_per_partition"] != 1 else spark.read.parquet(f"{path}/postings").withColumn("cid", F.col("part").cast("int")).drop("part")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if files.exists(spark, f"{path}/postings"):
+        index.path = f"{path}/postings"
+        index.attach(spark.read.parquet(index.path))
     return index
 
 
 def export_cells(index: IVFIndex, path: str) -> None:
     """One directory per cell with ids and payload, beside the sizes of all cells."""
-    index._populated().write.mode("overwrite").partitionBy("cid").parquet(f"{path}/cells")
+    index._populated().drop("part").write.mode("overwrite").partitionBy("cid").parquet(f"{path}/cells")
     index.sizes().coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
 
 

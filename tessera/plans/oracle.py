@@ -133,5 +133,9 @@ SQL: dict[str, str] = {
         [*COARSE, TOPW, TRUTH, FOUND],
         f"SELECT {K}::INT AS k, avg((f.vec_id IS NOT NULL)::INT::DOUBLE) AS recall FROM truth t LEFT JOIN found f USING (qid, vec_id) WHERE t.rank = 1",
     ),
+    "book_files": _sql(CODES, f"SELECT cid, vec_id, m, ks FROM l JOIN code USING (vec_id) WHERE cid IN ({', '.join(map(str, BOOK))})"),
+    "codebook_files": _sql(_pq_lloyd(), _values("center", "pq", "m, ks")),
+    "ground_truth_files": _sql([TRUTH], "SELECT dense_rank() OVER (ORDER BY qid) - 1 AS record, (rank - 1)::INT AS rank, vec_id, dist::FLOAT::DOUBLE AS dist FROM truth"),
+    "trim_file": _sql([], f"SELECT vec_id, (generate_subscripts(e, 1) - 1)::INT AS pos, unnest(e)::DOUBLE AS value FROM v WHERE vec_id < {TRIM}"),
     "trim_dataset": f"SELECT vec_id, label FROM embeddings WHERE vec_id < {TRIM}",
 }

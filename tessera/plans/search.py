@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2sqr, l2sqr_u8, quantize_u8
-from ..operators import evaluate
+from ..operators import evaluate, exchange
 from ..operators.config import IVFConfig, IVFPQConfig
 from ..operators.index import IVFIndex, IVFPQIndex
-from ..operators.kmeans import assign_sql, center_table
+from ..operators.kmeans import assign, assign_sql, center_table, initial_points, lloyd
 from ..operators.quantizer import Quantizer, subvector
-from ..operators.search import blocks, distance_table, exact_knn
+from ..operators.search import blocks, distance_tables, exact_knn
+from ..operators.shared import shared_path
+from ..sources.vecs import read_vecs
 from ..operators.store import trim
 
 DIM, KC, ROUNDS, W, K = 64, 8, 4, 3, 10
@@ -65,8 +67,28 @@ def _values(df: DataFrame, array: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(array).alias("pos", "value")).select(*keys, "pos", F.col("value").cast("double").alias("value"))
 
 
+def _start(v: DataFrame) -> np.ndarray:
+    return initial_points(v, KC, DIM, list(range(KC)))
+
+
+def _lloyd(v: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Centers by k-means itself, without an index."""
+    return lloyd(v, _start(v)[None], rounds)[0]
+
+
 def _centers(spark: SparkSession, d: str, rounds: int) -> DataFrame:
-    return _values(ivf(vectors(spark, d), rounds).codebook(spark), "center", "cid")
+    return _values(center_table(spark, _lloyd(vectors(spark, d), rounds)), "center", "cid")
+
+
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """The coarse codebook of a trained index."""
+    return _values(IVFIndex(IVFConfig(DIM, KC, ROUNDS)).train(vectors(spark, d), list(range(KC)), whole=True).codebook(spark), "center", "cid")
+
+
+def _trained_pq(spark: SparkSession, d: str) -> DataFrame:
+    """The product codebook of a trained index."""
+    config = IVFPQConfig(DIM, KC, ROUNDS, mp=MP, kp=KP, pq_iterations=PQ_ROUNDS)
+    return _values(IVFPQIndex(config).train(vectors(spark, d), list(range(KC)), list(range(KP)), whole=True).pq.codebook(spark), "center", "m", "ks")
 
 
 def _pq(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +98,7 @@ def _pq(spark: SparkSession, d: str) -> DataFrame:
 
 def _nearest_center(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    start = np.array([r["embedding"] for r in v.where(F.col("vec_id") < KC).orderBy("vec_id").collect()], np.float64)
-    return assign_sql(v, center_table(spark, start), l2sqr)
+    return assign_sql(v, center_table(spark, _start(v)), l2sqr)
 
 
 def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
@@ -96,18 +117,7 @@ def _codes(df: DataFrame, *keys: str) -> DataFrame:
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    book = ivfpq(v).pq._trained()
-
-    def rows(batches):
-        import pandas as pd
-
-        for f in batches:
-            for qid, q in zip(f["qid"], f["q"]):
-                t = distance_table(np.asarray(q, np.float64), book)
-                m, ks = np.indices(t.shape)
-                yield pd.DataFrame({"qid": qid, "m": m.ravel().astype("int32"), "ks": ks.ravel().astype("int32"), "dist": t.ravel()})
-
-    return query_set(v).mapInPandas(rows, "qid long, m int, ks int, dist double")
+    return distance_tables(query_set(v), ivfpq(v).pq._trained())
 
 
 def _adc(spark: SparkSession, d: str) -> DataFrame:
@@ -147,6 +157,36 @@ def _subvectors(spark: SparkSession, d: str) -> DataFrame:
     return _values(vectors(spark, d).select("vec_id", F.explode(parts).alias("p")).select("vec_id", "p.*"), "part", "vec_id", "m")
 
 
+def _book_files(spark: SparkSession, d: str) -> DataFrame:
+    """Cells' files written and a book of them read by another index."""
+    path = shared_path(spark, "cells")
+    index = ivfpq(vectors(spark, d))
+    exchange.write_cells(index, path, spark)
+    return _codes(exchange.load_book(IVFPQIndex(index.config), path, BOOK, spark).postings, "cid", "vec_id")
+
+
+def _codebook_files(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "codebooks")
+    index = ivfpq(vectors(spark, d))
+    exchange.write_codebooks(index, path, spark)
+    return _values(exchange.read_codebooks(IVFPQIndex(index.config), path, spark).pq.codebook(spark), "center", "m", "ks")
+
+
+def _truth_files(spark: SparkSession, d: str) -> DataFrame:
+    """The ground truth as its two files have it: records by query, single-precision distances."""
+    path = shared_path(spark, "truth")
+    exchange.write_ground_truth(_knn(spark, d), path)
+    ids = read_vecs(spark, f"{path}/train_groundtruth.ivecs").select("vec_id", F.posexplode("embedding").alias("rank", "neighbour"))
+    dist = read_vecs(spark, f"{path}/train_distance.fvecs").select("vec_id", F.posexplode("embedding").alias("rank", "dist"))
+    return ids.join(dist, ["vec_id", "rank"]).select(F.col("vec_id").alias("record"), "rank", F.col("neighbour").cast("long").alias("vec_id"), F.col("dist").cast("double").alias("dist"))
+
+
+def _trim_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_path(spark, 'trimmed')}/base.fvecs"
+    exchange.write_trimmed(vectors(spark, d), TRIM, path)
+    return _values(read_vecs(spark, path), "embedding", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l2sqr_pairs": lambda s, d: _pairs(vectors(s, d)),
     "l2sqr_u8_pairs": lambda s, d: _pairs(vectors(s, d), "both"),
@@ -156,8 +196,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_center": _nearest_center,
     "kmeans_update": lambda s, d: _centers(s, d, 2),
     "kmeans_centroids": lambda s, d: _centers(s, d, ROUNDS),
-    "kmeans_labels": lambda s, d: ivf(vectors(s, d)).postings.select("vec_id", "cid"),
-    "ivf_train": lambda s, d: _centers(s, d, ROUNDS),
+    "kmeans_labels": lambda s, d: assign(vectors(s, d), _lloyd(vectors(s, d))),
+    "ivf_train": _trained,
     "ivf_assign": lambda s, d: ivf(vectors(s, d)).postings.select("vec_id", "cid"),
     "ivf_list_sizes": lambda s, d: ivf(vectors(s, d)).sizes(),
     "coarse_topw": _topw,
@@ -166,7 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "avg_searched_cnt": lambda s, d: _counts(s, d).agg(F.avg("searched_cnt").alias("avg_searched_cnt")),
     "subvector_slice": _subvectors,
     "pq_codebook": _pq,
-    "ivfpq_train": _pq,
+    "ivfpq_train": _trained_pq,
     "pq_encode": lambda s, d: _codes(ivfpq(vectors(s, d)).postings, "vec_id"),
     "pq_distance_table": _table,
     "pq_adc": _adc,
@@ -180,5 +220,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gt_hits_per_cluster": lambda s, d: ivf(vectors(s, d)).observe(_knn(s, d)),
     "recall_at_k": lambda s, d: evaluate.recall_at_k(_search(ivf, s, d), _knn(s, d), K),
     "recall_1_at_k": lambda s, d: evaluate.recall_1_at_k(_search(ivf, s, d), _knn(s, d), K),
+    "book_files": _book_files,
+    "codebook_files": _codebook_files,
+    "ground_truth_files": _truth_files,
+    "trim_file": _trim_file,
     "trim_dataset": lambda s, d: trim(s.read.parquet(f"{d}/embeddings.parquet"), TRIM).select("vec_id", "label"),
 }

@@ -9,7 +9,7 @@ An fbin file has the counts of rows and of components as int32, then float32 val
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, StructType
 
+from . import files
+
 #: Suffix to numpy type and Spark element type; fixed by the format.
 ELEMENTS = {
     "fvecs": ("<f4", "float"),
@@ -185,6 +187,65 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
+def read_vecs(spark, path: str, dtype: str | None = None, limit: int | None = None) -> DataFrame:
+    """``vec_id, embedding`` of an xvecs file on any file system that Spark reaches, in splits of whole records.
+
+    A partial record at the end is an error here; the ``xvecs`` source, for mounted paths, passes over it.
+    """
+    dtype, element = _kind({"path": path} | ({"dtype": dtype} if dtype else {}))
+    length = files.size(spark, path)
+    schema = f"vec_id bigint, embedding array<{element}>"
+    if length < 4:
+        return spark.createDataFrame([], schema)
+    dim = int(np.frombuffer(files.head(spark, path, 4), "<i4")[0])
+    if dim < 1:
+        raise ValueError(f"{path}: length {dim} in the first record")
+    record = 4 + dim * dtype.itemsize
+    if length % record:
+        raise ValueError(f"{path}: {length} bytes are no whole number of records of {record}")
+    if limit is not None and limit > length // record:
+        raise ValueError(f"{limit} rows asked for, {path} has {length // record}")
+    records = spark.sparkContext.newAPIHadoopFile(
+        path,
+        "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={"fixedlengthinputformat.record.length": str(record)},
+    )
+    convert = Decimal if element.startswith("decimal") else (float if element == "float" else int)
+    rows = records.map(lambda r: (r[0] // record, [convert(x) for x in np.frombuffer(bytes(r[1]), dtype, offset=4).tolist()]))
+    if limit is not None:
+        rows = rows.filter(lambda r: r[0] < limit)
+    return spark.createDataFrame(rows, schema)
+
+
+def records_of(vectors: Iterable, dtype: str) -> Iterator[bytes]:
+    """Records of an xvecs file, some megabytes at a time; values that don't fit the type are errors."""
+    kind = np.dtype(ELEMENTS[dtype][0])
+    block = bytearray()
+    for vector in vectors:
+        values = np.array([int(v) for v in vector], object) if kind.kind in "iu" else np.asarray(vector, np.float64)
+        if kind.kind in "iu" and len(values) and (values.min() < np.iinfo(kind).min or values.max() > np.iinfo(kind).max):
+            raise ValueError(f"a value doesn't fit {kind}")
+        block += np.array([len(values)], "<i4").tobytes() + values.astype(kind).tobytes()
+        if len(block) >= 4 << 20:
+            yield bytes(block)
+            block.clear()
+    yield bytes(block)
+
+
+def write_vecs(df: DataFrame, path: str, dtype: str | None = None, overwrite: bool = False) -> None:
+    """One xvecs file of ``vec_id, embedding`` in order of the id, on any file system that Spark reaches.
+
+    The file is one stream, written as the sorted partitions arrive at the driver, which holds one of them at a time.
+    """
+    spark = df.sparkSession
+    name = dtype or os.path.basename(path).rpartition(".")[2]
+    _kind({"path": path, "dtype": name})
+    rows = df.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
+    files.write(spark, path, records_of((r["embedding"] for r in rows), name), overwrite)
+
+
 def read_hdf5(spark, path: str, dataset: str) -> DataFrame:
     """A two-dimensional HDF5 dataset as ``vec_id, embedding``; needs h5py on the driver."""
     try:
