@@ -3,23 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoints-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+from ..operators.shared import shared_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,8 +17,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     made them runs once however many later plans read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
