@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions.distance import l2sqr, l2sqr_block, l2sqr_u8, register_functions
 from tessera.functions.nesting import Timer, nest_2d, nest_3d, with_units
-from tessera.operators import evaluate, search
+from tessera.operators import evaluate, exchange, search
 from tessera.operators.config import IVFConfig, IVFPQConfig, validated
 from tessera.operators.index import IVFIndex, IVFPQIndex
-from tessera.operators.kmeans import assign, assign_sql, center_table, initial_points, lloyd
+from tessera.operators.exchange import uniform_vectors
+from tessera.operators.kmeans import assign, assign_sql, center_table, initial_points, lloyd, training_sample
 from tessera.operators.quantizer import Quantizer
 from tessera.operators.search import exact_knn
 from tessera.operators.store import export_cells, load, save, trim
 from tessera.plans import oracle
 from tessera.plans import search as plans
+from tessera.sources.vecs import read_vecs
 
 SF = "/root/testdata/sf0.001"
 
@@ -206,3 +208,123 @@ def test_training_queries_use_tables_above_the_sample(spark):
     assert np.allclose(search.ivf(v, 2).coarse, want, atol=1e-6)
     config = search.IVFConfig(search.DIM, search.KC, 1)
     assert np.allclose(IVFIndex(config).train(v, list(range(search.KC))).coarse, x[: search.KC])
+
+
+BAD = ([1.0, None], [1.0, float("nan")], [1.0], None)
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_nulls_and_ragged_vectors_are_errors_everywhere(spark, bad):
+    good = frame(spark, [[0, 0], [5, 5], [9, 9], [3, 1]])
+    df = good.unionByName(spark.createDataFrame([(7, bad)], good.schema))
+    centers = np.array([[0.0, 0.0], [9.0, 9.0]])
+    quantizer = Quantizer(2, 1, 2).set_centers(centers[None])
+    trials = (
+        lambda: exact_knn(df, asked(good), 2, 1).collect(),
+        lambda: exact_knn(good, asked(df), 2, 1).collect(),
+        lambda: assign(df, centers).collect(),
+        lambda: lloyd(df, centers[None], 2),
+        lambda: Quantizer(2, 1, 2).fit(df, 2, [0, 1]),
+        lambda: quantizer.encode(df).collect(),
+        lambda: search.coarse_topw(asked(df), centers, 1).collect(),
+    )
+    for trial in trials:
+        with pytest.raises(Exception, match="expected 2|inhomogeneous|numbers"):
+            trial()
+
+
+def test_ids_stay_with_their_vectors(spark):
+    v = spark.createDataFrame([(0, [0.0]), (2, [5.0]), (3, [9.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["dist"]) for r in exact_knn(v, asked(v.where("vec_id = 3")), 1, 2).orderBy("rank").collect()] == [(3, 0.0), (2, 16.0)]
+
+
+def test_many_queries_hold_bounded_distances(spark, monkeypatch):
+    held = []
+
+    def counted(x, y):
+        held.append(len(x) * len(y))
+        return l2sqr_block(x, y)
+
+    rng = np.random.default_rng(2)
+    x, q = rng.random((50, 2)), rng.random((100_000, 2))
+    monkeypatch.setattr(search, "l2sqr_block", counted)
+    found = [np.concatenate(c) for c in zip(*search._nearest_of_block(x, np.arange(50), np.arange(len(q)), q, 1))]
+    assert max(held) <= search.TILE and sum(held) == 50 * 100_000 and len(held) > 1
+    assert (found[1][:500] == l2sqr_block(x, q[:500]).argmin(axis=0)).all()
+
+
+def test_search_reads_only_the_partitions_of_its_cells(spark, tmp_path):
+    n = 1500
+    v = uniform_vectors(spark, 4000, 2)
+    index = IVFIndex(IVFConfig(2, n, 1))
+    index.coarse = np.random.default_rng(1).random((n, 2))
+    index.populate(v, str(tmp_path / "p"))
+    assert index.per_part == 2
+    q = asked(v.where("vec_id < 3"))
+    cells = [r["cid"] for r in index.topw(q, 1100).collect()]
+    plan = search.of_cells(index.postings, sorted(set(cells)), index.per_part)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1]
+    assert filters.startswith(("part", "isnotnull(part", "cast(part"))or "part#" in filters[:60]
+    want = {(r["qid"], r["rank"], r["vec_id"]) for r in exact_knn(v, q, 2, 5).collect()}
+    assert {(r["qid"], r["rank"], r["vec_id"]) for r in index.search(q, 5, n).collect()} == want
+    before = index.postings.inputFiles()
+    index.search(q, 5, 10).collect()
+    assert index.postings.inputFiles() == before  # assigned once
+
+
+def test_training_sample_keeps_its_partitions(spark, monkeypatch):
+    v = uniform_vectors(spark, 250_000, 1).repartition(6)
+    sample = training_sample(v, 10, 3)
+    assert sample.rdd.getNumPartitions() == 6 and 100_000 <= sample.count() < 104_000
+    few = uniform_vectors(spark, 50, 1)
+    assert training_sample(few, 10, 3).count() == 50
+
+
+def test_exchange_files(spark, tmp_path):
+    v = plans.vectors(spark, SF)
+    index = plans.ivfpq(v)
+    at = f"file://{tmp_path}/x"
+    exchange.write_codebooks(index, at, spark)
+    again = exchange.read_codebooks(IVFPQIndex(index.config), at, spark)
+    assert np.array_equal(again.coarse, index.coarse) and np.array_equal(again.pq.centers, index.pq.centers)
+    with pytest.raises(ValueError):
+        exchange.read_codebook(spark, f"{at}/cq_", 1, 3, 64)
+    exchange.write_cells(index, at, spark)
+    book = [0, 2, 2, 5]
+    exchange.load_book(again, at, book, spark)
+    want = {(r["cid"], r["vec_id"], tuple(r["code"])) for r in index.book(book).collect()}
+    assert {(r["cid"], r["vec_id"], tuple(r["code"])) for r in again.book(book).collect()} == want and want
+    q = plans.query_set(v)
+    topw = q.select("qid", "q", F.explode(F.array(*(F.lit(c) for c in (0, 2, 5)))).alias("cid"))
+    assert sorted(again.search_cells(topw, 4).collect()) == sorted(index.search_cells(topw, 4).collect())
+    sizes = read_vecs(spark, f"{at}/posting_lists_lens.ivecs").first()["embedding"]
+    assert sizes == [r["n"] for r in index.sizes().orderBy("cid").collect()]
+    with pytest.raises(ValueError):
+        exchange.load_book(again, at, [99], spark)
+    with pytest.raises(Exception, match="exists"):
+        exchange.write_codebooks(index, at, spark)
+
+
+def test_ground_truth_and_trimmed_files(spark, tmp_path):
+    v = frame(spark, [0, 4, 9, 9])
+    at = str(tmp_path)
+    exchange.write_ground_truth(exact_knn(v, asked(v.where("vec_id in (0, 3)")), 1, 2), at)
+    assert [r["embedding"] for r in read_vecs(spark, f"{at}/train_groundtruth.ivecs").orderBy("vec_id").collect()] == [[0, 1], [2, 3]]
+    assert [r["embedding"] for r in read_vecs(spark, f"{at}/train_distance.fvecs").orderBy("vec_id").collect()] == [[0, 16], [0, 0]]
+    exchange.write_trimmed(v, 4, f"{at}/base.bvecs")
+    with pytest.raises(ValueError, match="source"):
+        exchange.write_trimmed(v, 2, f"file://{at}/base.bvecs", f"{at}/base.bvecs", overwrite=True)
+    exchange.write_trimmed(read_vecs(spark, f"{at}/base.bvecs"), 2, f"{at}/small.bvecs", f"{at}/base.bvecs")
+    assert [r["embedding"] for r in read_vecs(spark, f"{at}/small.bvecs").orderBy("vec_id").collect()] == [[0], [4]]
+
+
+def test_uniform_vectors(spark):
+    x = np.array([r["embedding"] for r in uniform_vectors(spark, 2000, 3).orderBy("vec_id").collect()])
+    assert x.min() >= 0 and x.max() < 1 and abs(x.mean() - 0.5) < 0.02 and len({tuple(r) for r in x}) == 2000
+    assert [r["embedding"] for r in uniform_vectors(spark, 5, 3).orderBy("vec_id").collect()] == x[:5].tolist()
+
+
+def test_shared_dir(spark):
+    from tessera.operators.shared import shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

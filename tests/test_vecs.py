@@ -30,6 +30,24 @@ def test_round_trip(spark, tmp_path, suffix, dtype, top):
         assert a.read() == b.read()
 
 
+def test_files_on_any_file_system(spark, tmp_path):
+    path = f"file://{tmp_path}/a.fvecs"
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    vecs.write_vecs(df, path)
+    assert [tuple(r) for r in vecs.read_vecs(spark, path).orderBy("vec_id").collect()] == [(0, [1, 2]), (1, [3, 4])]
+    assert vecs.read_vecs(spark, path, limit=1).count() == 1
+    with pytest.raises(Exception, match="exists"):
+        vecs.write_vecs(df, path)
+    vecs.write_vecs(df.limit(0), path, overwrite=True)
+    assert vecs.read_vecs(spark, path).count() == 0
+    with open(tmp_path / "b.fvecs", "wb") as f:
+        f.write(np.array([2], "<i4").tobytes() + b"x" * 9)
+    with pytest.raises(ValueError, match="whole number"):
+        vecs.read_vecs(spark, f"file://{tmp_path}/b.fvecs")
+    with pytest.raises(ValueError, match="fit"):
+        vecs.write_vecs(spark.createDataFrame([(0, [300])], "vec_id long, embedding array<int>"), f"file://{tmp_path}/c.bvecs")
+
+
 def test_partial_record_empty_file_and_limit(spark, tmp_path):
     path = str(tmp_path / "a.fvecs")
     write(path, [[1, 2], [3, 4]], "<f4")
