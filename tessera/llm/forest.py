@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -18,24 +20,25 @@ from .storage import materialize, table
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """``fit_rows`` bounds the sample per label on which the upper splits are fitted; it is
-    enough for labels of up to ``fit_rows / 32`` cells, beyond that cells grow.
+    """``fit_rows`` is about the size of the sample of a label, or later of a cell, on which splits are fitted.
 
     Cells of about ``cell_rows`` rows go to tasks, which split them on to leaves of about
     ``leaf_rows``. A row goes to both sides of a split if it lies within ``reach`` of it. A node
-    is split only while that lowers the pairs to compare, so a dense group stays whole. A cell of
-    over four times ``cell_rows`` rows, which no split could part, is one leaf, and a leaf is
-    compared by pairs of slices of ``slice_rows``.
+    is split only while that lowers the pairs to compare, so a dense group stays whole. A cell that comes out with
+    over four times ``cell_rows`` rows is fitted and split again, on a sample of its own; if no split can
+    part it, it is one leaf, and a leaf is compared by pairs of slices of ``slice_rows``. ``deal_rows`` rows
+    of a label or cell are dealt by one task.
     """
 
     threshold: float = 0.93
-    trees: int = 8
+    trees: int = 4
     fit_rows: int = 20_000
     cell_rows: int = 4096
     leaf_rows: int = 512
     deviations: float = 2.0
     block: int = 1024
     slice_rows: int = 4096
+    deal_rows: int = 65_536
     seed: int = 11
 
     def reach(self, dim: int) -> float:
@@ -188,7 +191,8 @@ def embedding_near_dedup(vectors: DataFrame, config: ForestConfig = ForestConfig
     m rows, not m^2 pairs.
 
     Null ids keep their row, with no component and no link. Repeated rows count as copies of
-    each other: each return the others as links. Other columns are not read.
+    each other: each return the others as links. Ties don't arise: components go by the smallest id. An empty table
+    gives an empty result. Other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = (
@@ -224,58 +228,81 @@ def embedding_near_dedup(vectors: DataFrame, config: ForestConfig = ForestConfig
     )
 
 
+CELL = ["label", "dim", "cell"]
+
+
+def _refined(members: DataFrame, crowded: DataFrame, config: ForestConfig, trees: int) -> DataFrame:
+    """``node, label, dim, cell, final`` of the members of crowded cells ``(label, dim, cell, size)``, dealt anew by ``trees`` fitted trees.
+
+    The splits of a cell are one row, which goes to the tasks that deal its members and nowhere
+    else. A cell that one of the trees leaves whole keeps its name, once, and is final.
+    """
+    share = F.pmod(F.xxhash64("node", F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
+    rows = members.join(crowded, CELL)
+    sample = rows.where(share * F.col("size") < config.fit_rows).select(*CELL, "size", "node", "embedding")
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        label, dim, cell = (k.as_py() for k in key)
+        size = group["size"][0].as_py()
+        depth = _depth(size, config)
+        x = _unit(group.sort_by("node")["embedding"], dim)
+        fitted = [fit_tree(x, config, _seed(label, dim, cell, t), depth) for t in range(trees)]
+        return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "cell": [cell], "size": [size], "fitted": [json.dumps([depth, fitted])]})
+
+    splits = materialize(sample.groupBy(*CELL).applyInArrow(fit, "label string, dim int, cell string, size long, fitted string"), "forest-splits")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / config.deal_rows)).cast("int")
+    left = rows.select(*CELL, F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), "node", "embedding")
+    right = splits.select(*CELL, "fitted", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+
+    def deal(key: tuple, group: pa.Table, split: pa.Table) -> pa.Table:
+        label, dim, cell, _ = (k.as_py() for k in key)
+        node = group["node"].to_numpy() if len(group) else np.empty(0, np.int64)
+        names, chosen, final = [], [], False
+        depth, fitted = json.loads(split["fitted"][0].as_py()) if len(split) else (0, [{}])
+        if not all(fitted):  # a tree that doesn't split has all pairs in one cell
+            names, chosen, final = [cell], [np.arange(len(node))], True
+        elif len(node):
+            x = _unit(group["embedding"], dim)
+            for t, tree in enumerate(fitted):
+                for path, rows in route(x, tree, config, _seed(label, dim, cell, t), depth):
+                    names.append(f"{cell}/{t}:{path}")
+                    chosen.append(rows)
+        counts = [len(c) for c in chosen]
+        at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+        return pa.table(
+            {
+                "node": node[at],
+                "label": pa.array([label] * len(at), pa.string()),
+                "dim": pa.array([dim] * len(at), pa.int32()),
+                "cell": pa.array(np.repeat(np.array(names, object), counts).tolist(), pa.string()),
+                "final": pa.array([final] * len(at), pa.bool_()),
+            }
+        )
+
+    keys = [*CELL, "salt"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(deal, "node long, label string, dim int, cell string, final boolean")
+
+
 def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     """``node, n, root`` per node and leaf: links counted there and the least node reached."""
-    spark = nodes.sparkSession
-    keyed = nodes.withColumn("dim", F.size("embedding"))
-    groups = keyed.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    keyed = nodes.select("node", "label", F.size("embedding").alias("dim"), "embedding")
+    whole_label = keyed.select("node", "label", "dim", F.lit("").alias("cell"))
+    vectors = keyed.select("node", "embedding")
+    sizes = lambda of: of.groupBy(*CELL).agg(F.count("*").alias("size"))
     # up to here the cells of all trees have no fewer pairs than the label
-    large = groups.where(F.col("size") > config.trees * config.cell_rows)
-    sample = (
-        keyed.join(large, ["label", "dim"])
-        .select("label", "dim", "size", "node", "embedding", F.xxhash64("node").alias("h"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "node")))
-        .where(F.col("r") <= config.fit_rows)
-        .select("label", "dim", "size", "embedding")
-    )
-
-    def fit(key: tuple, group: pa.Table) -> pa.Table:
-        label, dim = key[0].as_py(), key[1].as_py()
-        depth = _depth(group["size"][0].as_py(), config)
-        x = _unit(group["embedding"], dim)
-        rows = [(label, dim, depth, t, path, *band) for t in range(config.trees) for path, band in fit_tree(x, config, t, depth).items()]
-        return pa.Table.from_pylist([dict(zip(FITTED.names, r)) for r in rows], schema=FITTED)
-
-    fitted: dict[tuple[str, int], tuple[int, list[dict]]] = {}
-    splits = sample.groupBy("label", "dim").applyInArrow(fit, "label string, dim int, depth int, tree int, path string, low double, high double")
-    for r in splits.collect():
-        depth, trees = fitted.setdefault((r["label"], r["dim"]), (r["depth"], [{} for _ in range(config.trees)]))
-        trees[r["tree"]][r["path"]] = (r["low"], r["high"])
-    shared = spark.sparkContext.broadcast(fitted)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for (label, dim), part in frame.groupby(["label", "dim"]):
-                x = _unit(pa.array(part["embedding"], pa.list_(pa.float32())), dim)
-                depth, trees = shared.value.get((label, dim), (0, [{}]))
-                # a tree that doesn't split the label has all its pairs in one cell
-                once = not all(trees)
-                cells: list[list[str]] = [[WHOLE] * once for _ in range(len(part))]
-                for t, tree in enumerate([] if once else trees):
-                    for path, members in route(x, tree, config, t, depth):
-                        for i in members.tolist():
-                            cells[i].append(f"{t}:{path}")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part["node"]), pa.array(part["label"]), pa.array(part["dim"], pa.int32()), pa.array(part["embedding"], pa.list_(pa.float32())), pa.array(cells, pa.list_(pa.string()))],
-                    ["node", "label", "dim", "embedding", "cells"],
-                )
-
-    dealt = keyed.select("node", "label", "dim", "embedding").mapInArrow(deal, "node long, label string, dim int, embedding array<float>, cells array<string>")
-    in_cells = dealt.select("node", "label", "dim", "embedding", F.explode("cells").alias("cell"))
-    cell = ["label", "dim", "cell"]
-    sizes = in_cells.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1")
-    sized = in_cells.join(sizes, cell)
+    least, most = config.trees * config.cell_rows, 4 * config.cell_rows
+    first = materialize(sizes(whole_label), "forest-sizes")
+    settled = [whole_label.join(first.where(F.col("size").between(2, least)), CELL).select("node", *CELL, "size", F.lit(True).alias("whole"))]
+    crowded, members, trees = first.where(F.col("size") > least), keyed.withColumn("cell", F.lit("")), config.trees
+    while not crowded.isEmpty():
+        dealt = materialize(_refined(members, crowded, config, trees), "forest-cells")
+        sized = materialize(sizes(dealt), "forest-sizes").where("size > 1")
+        joined = dealt.join(sized, CELL)
+        settled.append(joined.where(F.col("final") | (F.col("size") <= most)).select("node", *CELL, "size", F.col("final").alias("whole")))
+        again = joined.where(~F.col("final") & (F.col("size") > most))
+        crowded = again.select(*CELL, "size").distinct()
+        members, trees = again.select("node", *CELL).join(vectors, "node"), 1
+    in_cells = reduce(DataFrame.unionByName, settled)
 
     def divide(key: tuple, group: pa.Table) -> pa.Table:
         label, dim, name = (k.as_py() for k in key)
@@ -288,10 +315,8 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
             out_leaf.append(np.full(len(rows), xxhash.xxh64_intdigest(f"{label}|{dim}|{name}|{k}") >> 1, np.int64))
         return pa.table({"node": np.concatenate(out_node), "leaf": np.concatenate(out_leaf)})
 
-    most = 4 * config.cell_rows
-    is_whole = (F.col("size") > most) | (F.col("cell") == WHOLE)
-    whole = sized.where(is_whole).select("node", F.shiftrightunsigned(F.xxhash64(*cell), 1).alias("leaf"))
-    split = sized.where(~is_whole).select("node", *cell, "embedding").groupBy(*cell).applyInArrow(divide, "node long, leaf long")
+    whole = in_cells.where("whole").select("node", F.shiftrightunsigned(F.xxhash64(*CELL), 1).alias("leaf"))
+    split = in_cells.where("not whole").select("node", *CELL).join(vectors, "node").groupBy(*CELL).applyInArrow(divide, "node long, leaf long")
     members = materialize(whole.union(split), "forest-leaves")
     leaf_sizes = members.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     slices = F.ceil(F.col("size") / config.slice_rows).cast("int")
@@ -316,10 +341,8 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     return materialize(tasks.groupBy("leaf", "first", "second").applyInArrow(compare, "node long, n long, root long"), "forest-links")
 
 
-WHOLE = "whole"
-FITTED = pa.schema(
-    [("label", pa.string()), ("dim", pa.int32()), ("depth", pa.int32()), ("tree", pa.int32()), ("path", pa.string()), ("low", pa.float64()), ("high", pa.float64())]
-)
+def _seed(label: str, dim: int, cell: str, tree: int) -> int:
+    return zlib.crc32(f"{label}|{dim}|{cell}|{tree}".encode())
 
 
 def _depth(size: int, config: ForestConfig) -> int:

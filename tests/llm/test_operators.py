@@ -200,6 +200,30 @@ def test_links_of_dense_groups_of_thousands(spark, cell_rows):
     assert got.n_links.sum() >= (1 - 1e-6) * links.sum()
 
 
+def test_recall_over_many_levels(spark):
+    """Trees of several fitted levels, cells that are fitted again, and tasks that deal parts of a label."""
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((6000, 24))
+    near = base[:2500] + 0.2 * rng.standard_normal((2500, 24))
+    x = np.concatenate([base, near]).astype("f4")
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    links = np.concatenate([(unit[a : a + 500] @ unit.T >= 0.93).sum(axis=1) - 1 for a in range(0, len(unit), 500)])
+    rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    config = forest.ForestConfig(fit_rows=600, cell_rows=150, leaf_rows=80, deal_rows=1500)
+    got = forest.embedding_near_dedup(rows, config).toPandas().sort_values("vec_id")
+    assert links.sum() > 2000 and (got.n_links.to_numpy() <= links).all()
+    assert got.n_links.sum() >= 0.97 * links.sum()
+
+
+def test_odd_and_empty_vector_tables(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [1.0, 0.0], 1), (None, [1.0, 0.0], 0), (5, None, 0), (6, [], 0), (7, [float("inf"), 1.0], 0)]
+    df = frame(spark, rows, "vec_id long, embedding array<float>, label int").select("*", *(F.lit("x").alias(c) for c in ("node", "cell", "key", "size", "dim", "copies", "root")))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in forest.embedding_near_dedup(df).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+    assert forest.embedding_near_dedup(df.limit(0)).count() == 0
+
+
 # 4
 
 
