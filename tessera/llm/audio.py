@@ -20,7 +20,7 @@ from .storage import table
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, "
-    "tensor array<float>, spans array<float>"
+    "tensor array<float>, tensor_shape array<int>, spans array<float>"
 )
 
 
@@ -163,13 +163,32 @@ def tensor_column(tensors: list[np.ndarray]) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(tensors))
 
 
+def with_tensors(rows: pa.Table) -> pa.Table:
+    """Rows as Spark returns them (``df.toArrow()``) with ``tensor`` as a fixed-shape tensor column again.
+
+    Spark's schema has no such type, so there a tensor is a list beside its ``tensor_shape``.
+    """
+    if not len(rows):
+        return rows
+    shapes = {tuple(s) for s in rows["tensor_shape"].to_pylist()}
+    if len(shapes) != 1:
+        raise ValueError(f"tensors of different shapes: {sorted(shapes)}")
+    shape = shapes.pop()
+    flat = rows["tensor"].combine_chunks().flatten()
+    storage = pa.FixedSizeListArray.from_arrays(flat, int(np.prod(shape)))
+    tensors = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), storage)
+    return rows.set_column(rows.schema.get_field_index("tensor"), "tensor", tensors)
+
+
 def audio_features(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``; see ``SCHEMA``.
 
-    ``tensor`` is the row-major (windows, mels) tensor, ``spans`` the segments' start and end
+    ``tensor`` is the row-major (windows, mels) tensor of the shape in ``tensor_shape``, an Arrow fixed-shape tensor
+    by :func:`with_tensors`; ``spans`` are the segments' start and end
     seconds in turn; ``feature`` is their digest with the frame count. Hashes are of what was
     read back from the stored form. Null text counts as empty and is padded to one unit of
-    spaces; ids may be null or repeat; other columns are not read.
+    spaces; ids may be null or repeat, each row returns, equal texts with equal values; other columns are not read.
+    An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +212,8 @@ def audio_features(docs: DataFrame, config: AudioConfig = AudioConfig()) -> Data
             longs = {0, 1, 2, 4, 5, 8, 9}
             arrays = [pa.array(c, pa.int64() if k in longs else pa.string()) for k, c in enumerate(columns[:10])]
             stored = tensor_column(list(columns[10])).storage
-            arrays += [stored.cast(pa.list_(pa.float32())), pa.array(columns[11], pa.list_(pa.float32()))]
+            shape = pa.array([[config.windows, config.mels]] * len(rows), pa.list_(pa.int32()))
+            arrays += [stored.cast(pa.list_(pa.float32())), shape, pa.array(columns[11], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

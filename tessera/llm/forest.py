@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, table
+from .storage import discard, materialize, table
 
 
 @dataclass(frozen=True)
@@ -292,12 +292,14 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     # up to here the cells of all trees have no fewer pairs than the label
     least, most = config.trees * config.cell_rows, 4 * config.cell_rows
     first = materialize(sizes(whole_label), "forest-sizes")
+    tables = [first]
     settled = [whole_label.join(first.where(F.col("size").between(2, least)), CELL).select("node", *CELL, "size", F.lit(True).alias("whole"))]
     crowded, members, trees = first.where(F.col("size") > least), keyed.withColumn("cell", F.lit("")), config.trees
     while not crowded.isEmpty():
         dealt = materialize(_refined(members, crowded, config, trees), "forest-cells")
-        sized = materialize(sizes(dealt), "forest-sizes").where("size > 1")
-        joined = dealt.join(sized, CELL)
+        sized = materialize(sizes(dealt), "forest-sizes")
+        tables += [dealt, sized]
+        joined = dealt.join(sized.where("size > 1"), CELL)
         settled.append(joined.where(F.col("final") | (F.col("size") <= most)).select("node", *CELL, "size", F.col("final").alias("whole")))
         again = joined.where(~F.col("final") & (F.col("size") > most))
         crowded = again.select(*CELL, "size").distinct()
@@ -318,6 +320,7 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
     whole = in_cells.where("whole").select("node", F.shiftrightunsigned(F.xxhash64(*CELL), 1).alias("leaf"))
     split = in_cells.where("not whole").select("node", *CELL).join(vectors, "node").groupBy(*CELL).applyInArrow(divide, "node long, leaf long")
     members = materialize(whole.union(split), "forest-leaves")
+    discard(*tables)
     leaf_sizes = members.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     slices = F.ceil(F.col("size") / config.slice_rows).cast("int")
     placed = members.join(leaf_sizes, "leaf").select("leaf", "node", slices.alias("slices"), F.pmod(F.xxhash64("node"), slices).cast("int").alias("side"))
@@ -338,7 +341,9 @@ def _links(nodes: DataFrame, config: ForestConfig) -> DataFrame:
         keep = (n > 0) | (least != np.arange(len(n)))
         return pa.table({"node": node[keep], "n": n[keep], "root": node[least][keep]})
 
-    return materialize(tasks.groupBy("leaf", "first", "second").applyInArrow(compare, "node long, n long, root long"), "forest-links")
+    links = materialize(tasks.groupBy("leaf", "first", "second").applyInArrow(compare, "node long, n long, root long"), "forest-links")
+    discard(members)
+    return links
 
 
 def _seed(label: str, dim: int, cell: str, tree: int) -> int:

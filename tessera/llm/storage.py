@@ -14,7 +14,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: the files survive the loss of any executor, and the plan that
-    made them runs once however many later plans read them.
+    made them runs once however many later plans read them. Operators discard the tables that their
+    result does not read; the others stay in the shared folder, as the result is read later.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -22,13 +23,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, False)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize`, once nothing reads them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

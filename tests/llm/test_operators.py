@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,13 +55,38 @@ OPERATORS = {
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_and_empty_tables(spark, odd, name):
-    out = OPERATORS[name](odd)
-    assert out.count() >= len(ODD)
+    rows = OPERATORS[name](odd).collect()
+    assert len(rows) >= len(ODD)
     if name != "packing":
-        assert out.count() == len(ODD)
+        assert len(rows) == len(ODD)
+        ids = lambda of: sorted(map(str, of))
+        assert ids(r["doc_id"] for r in rows) == ids(i for i, _ in ODD)
+        same = [tuple(r) for r in rows if r["doc_id"] == 1]
+        assert same[0] == same[1]
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
 
+def test_odd_rows_have_their_defined_results(spark, odd):
+    by = lambda df: {r["doc_id"]: r for r in df.where("doc_id is not null").collect()}
+    packed = by(packing.best_fit_packing(odd))
+    assert packed[2]["length"] == packed[3]["length"] == 1
+    lined = by(lines.line_dedup(odd))
+    # the two equal rows are peers, the later line goes, blank lines stay
+    assert [(lined[i]["text"], lined[i]["n_lines"], lined[i]["n_removed"]) for i in (1, 2, 3, 5)] == [(ODD[0][1], 1, 0), (None, 0, 0), ("", 1, 0), ("a\tb\n", 3, 1)]
+    assert lined[5]["line_key"] == "x" and lined[5]["n_chars"] == 4
+    prints = by(simhash.simhash_near_dedup(odd))
+    assert prints[2]["fingerprint"] == prints[3]["fingerprint"] == "0" * 16 and prints[2]["component_id"] == prints[3]["component_id"] == 2
+    pieces = by(transducer.sentencepiece_codec(odd))
+    assert pieces[2]["n_pieces"] == pieces[3]["n_pieces"] == 0 and all(r["exact"] for r in pieces.values())
+    media = by(audio.audio_features(odd))
+    assert (media[2]["n_bytes"], media[2]["payload_bytes"]) == (0, 192) and media[4]["payload_bytes"] == 300_096
+    model = language.fit_language_model(odd)
+    spoken = by(language.predict_language(odd, model))
+    assert spoken[2]["lang_pred"] == spoken[3]["lang_pred"] == "und" and spoken[1]["lang_pred"] == "en"
+    scores = by(toxicity.score_toxicity(odd, toxicity.fit_toxicity_model(odd, odd.select("doc_id", F.lit(None).cast("int").alias("toxic")))))
+    assert all(r["predicted"] == 0 and 0 <= r["score"] < 0.3 for r in scores.values())
+
+
 # 1
 
 
@@ -699,6 +725,50 @@ def test_media_round_trip_and_blocks(spark, texts):
     assert audio.hysteresis(np.array([0, 0.6, 1.2, 0.6, 0, 0.7, 0]), 1.0, 0.5) == [(1, 4)]
 
 
+def test_tensors_keep_their_shape(spark):
+    config = audio.AudioConfig(windows=4, mels=16)
+    rows = audio.audio_features(frame(spark, [(1, "some words"), (2, None), (3, "é" * 900)]), config).orderBy("doc_id").toArrow()
+    tensors = audio.with_tensors(rows)
+    assert tensors["tensor"].type == pa.fixed_shape_tensor(pa.float32(), (4, 16))
+    cube = tensors["tensor"].combine_chunks().to_numpy_ndarray()
+    assert cube.shape == (3, 4, 16) and np.array_equal(cube[2], audio.features(audio.payload_of("é" * 900)[1], config)[0])
+    assert audio.with_tensors(rows.slice(0, 0)).num_rows == 0
+
+
+def test_features_equal_a_plain_computation():
+    """Resampled by convolution, frames by hand, Fourier sums and mel triangles as defined."""
+    config = audio.AudioConfig()
+    payload = audio.payload_of("quiet words. LOUD!! \U0001f642 " * 60)[1]
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = audio.polyphase_filter(1, 2, config.taps_per_phase).T.ravel()
+    slow = np.convolve(x, h)[(h.size - 1) // 2 :: 2][: -(-len(x) // 2)]
+    n = 1 + -(-max(0, len(slow) - 256) // 128)
+    slow = np.pad(slow, (0, (n - 1) * 128 + 256 - len(slow)))
+    t = np.arange(256)
+    fourier = np.exp(-2j * np.pi * np.outer(np.arange(129), t) / 256)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(4000), 34)]
+    sums, counts, energy = np.zeros((8, 32)), np.zeros(8), []
+    for i in range(n):
+        frame_ = slow[i * 128 : i * 128 + 256]
+        power = np.abs(fourier @ (frame_ * (0.5 - 0.5 * np.cos(2 * np.pi * t / 255)))) ** 2
+        bands = [sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for f, p in zip(np.arange(129) * 8000 / 256, power)) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        sums[i * 8 // n] += np.log(np.array(bands) + 1e-6)
+        counts[i * 8 // n] += 1
+        energy.append(np.log(np.mean(frame_**2) + 1e-6))
+    level = (np.array(energy) - np.mean(energy)) / (np.std(energy) + 1e-6)
+    spans, open_ = [], None
+    for i, z in enumerate([*level, -9]):
+        if z >= config.low and open_ is None:
+            open_ = i
+        elif z < config.low and open_ is not None:
+            if level[open_:i].max() >= config.high:
+                spans.append((open_ * 128 / 8000, ((i - 1) * 128 + 256) / 8000))
+            open_ = None
+    tensor, got, frames = audio.features(payload, config)
+    assert frames == n and np.allclose(tensor, sums / np.maximum(counts, 1)[:, None], atol=5e-3) and np.allclose(got, spans)
+
+
 def test_the_last_samples_of_a_payload_count():
     quiet = bytes([128]) * 960
     loud = quiet[:-64] + bytes([0, 0, 255, 255]) * 16
@@ -717,3 +787,17 @@ def test_pipeline(spark, docs):
     cleaned = corpus_pipeline.line_stage(spark, kept, SF)
     groups = simhash.simhash_near_dedup(cleaned).select("component_id").distinct().count()
     assert len(ids) == groups
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name != "best_fit_packing":
+            assert out.columns == odd.columns, name
+            assert all(r["line_key"] == "x" for r in out.collect()), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    kept = lambda k: sorted((r["doc_id"], (r["text"] or "")[:9]) for r in corpus_pipeline.STAGES[k][1](spark, odd.where("doc_id is not null"), SF).collect())
+    assert kept(0) == [(1, "the cat s"), (1, "the cat s"), (4, "x" * 9), (5, "a\tb\n\nthe ")]  # null and empty texts have no language
+    assert kept(1) == [(1, "the cat s"), (1, "the cat s"), (2, ""), (3, ""), (4, "x" * 9), (5, "a\tb\n")]
+    assert kept(2) == [(1, "the cat s"), (1, "the cat s"), (2, ""), (4, "x" * 9), (5, "a\tb\n\nthe ")]  # repeated ids stay together
+    assert len(kept(3)) == 6
