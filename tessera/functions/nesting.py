@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,28 @@ def with_units(n: int) -> str:
     return str(n)
 
 
+def as_folder(path: str) -> str:
+    """A path that ends in one more "/" if it doesn't end in any."""
+    return path if path.endswith("/") else f"{path}/"
+
+
+def described(df: DataFrame) -> str:
+    """Columns and types, one a line."""
+    return "\n".join(f"{name}: {kind}" for name, kind in df.dtypes)
+
+
+def preview(vectors: DataFrame, n: int = 5, column: str = "embedding", components: int = 8) -> str:
+    """The first components of n vectors, one a line."""
+    rows = vectors.select("vec_id", F.slice(column, 1, components).alias("head"), F.size(column).alias("dim")).limit(n).collect()
+    return "\n".join(f"{r['vec_id']} ({r['dim']}): {' '.join(format(x, 'g') for x in r['head'])}" for r in rows)
+
+
+def kernels() -> str:
+    """What computes the distances: the vector library and the instruction sets it may use."""
+    found = np.show_config(mode="dicts").get("SIMD Extensions", {})
+    return f"numpy {np.__version__}, {', '.join([*found.get('baseline', []), *found.get('found', [])]) or 'no extensions'}"
+
+
 class Timer:
     """Adds up the time between starts and stops."""
 

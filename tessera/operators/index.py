@@ -10,7 +10,7 @@ from .evaluate import list_sizes, searched_counts, truth_per_cell
 from .kmeans import assign, center_table, training_sample
 from .postings import write_postings
 from .quantizer import Quantizer
-from .search import coarse_topw, of_cells, probe, probe_codes
+from .search import coarse_topw, code_distances, of_cells, probe, probe_codes
 from .shared import shared_path
 
 
@@ -132,3 +132,7 @@ class IVFPQIndex(IVFIndex):
     def search_all(self, queries: DataFrame, k: int) -> DataFrame:
         """Asymmetric distances to everything."""
         return self.search(queries, k, self.config.kc)
+
+    def distances(self, queries: DataFrame) -> DataFrame:
+        """``qid, vec_id, dist``: asymmetric distances of everything to every query, unranked."""
+        return code_distances(self._populated(), queries, self.pq._trained())

@@ -226,3 +226,32 @@ def distance_tables(queries: DataFrame, codebook: np.ndarray) -> DataFrame:
             )
 
     return queries.select("qid", "q").mapInArrow(run, "qid long, m int, ks int, dist double")
+
+
+def code_distances(postings: DataFrame, queries: DataFrame, codebook: np.ndarray) -> DataFrame:
+    """``qid, vec_id, dist``: asymmetric distances of all codes to every query of a stated set, unranked.
+
+    The queries are broadcast in blocks of checked size; nothing is shuffled.
+    """
+    m, _, width = codebook.shape
+    check_broadcast(codebook.nbytes, "the codebook")
+    queries = validated(queries, m * width, "q")
+
+    def one(part: DataFrame) -> DataFrame:
+        rows = part.select("qid", "q").orderBy("qid").collect()
+        shared = postings.sparkSession.sparkContext.broadcast((codebook, [(r["qid"], np.array(r["q"], np.float64)) for r in rows]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            book, own = shared.value
+            tables = [(qid, distance_table(q, book)) for qid, q in own]
+            for batch in batches:
+                codes = batch["code"].flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+                for qid, table in tables:
+                    dist = np.zeros(len(codes))
+                    for s in range(m):
+                        dist += table[s][codes[:, s]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), qid)), batch["vec_id"], pa.array(dist)], ["qid", "vec_id", "dist"])
+
+        return postings.select("vec_id", "code").mapInArrow(run, RESULT)
+
+    return _union([one(part) for part in blocks(queries, (m * width + 1) * 8)])

@@ -121,10 +121,8 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _adc(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of all codes to all queries: a search of all cells for as many as there are."""
     v = vectors(spark, d)
-    index = ivfpq(v)
-    return index.search_all(query_set(v), v.count()).select("qid", "vec_id", "dist")
+    return ivfpq(v).distances(query_set(v))
 
 
 def _search(index: Callable[[DataFrame], IVFIndex], spark: SparkSession, d: str, w: int = W) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.distance import l2sqr, l2sqr_block, l2sqr_u8, register_functions
-from tessera.functions.nesting import Timer, nest_2d, nest_3d, with_units
+from tessera.functions.nesting import Timer, as_folder, described, kernels, nest_2d, nest_3d, preview, with_units
 from tessera.operators import evaluate, exchange, search
 from tessera.operators.config import IVFConfig, IVFPQConfig, validated
 from tessera.operators.index import IVFIndex, IVFPQIndex
@@ -172,6 +172,9 @@ def test_helpers(spark):
     assert df.select(nest_3d("a", 2, 3)).first()[0] == [[[0, 1, 2], [3, 4, 5]], [[6, 7, 8], [9, 10, 11]]]
     assert df.select(nest_2d("a", 5)).first()[0] is None
     assert [with_units(n) for n in (999, 1000, 1_999_999, 3_000_000_000)] == ["999", "1k", "1m", "3b"]
+    assert as_folder("a") == as_folder("a/") == "a/" and "numpy" in kernels()
+    v = frame(spark, [[1.5, 2], [3, 4]])
+    assert described(v) == "vec_id: bigint\nembedding: array<float>" and preview(v.orderBy("vec_id"), 1) == "0 (2): 1.5 2"
     t = Timer()
     with pytest.raises(RuntimeError):
         t.stop()
