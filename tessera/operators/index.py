@@ -10,7 +10,7 @@ from .evaluate import list_sizes, searched_counts, truth_per_cell
 from .kmeans import assign, center_table, training_sample
 from .postings import write_postings
 from .quantizer import Quantizer
-from .search import coarse_topw, code_distances, of_cells, probe, probe_codes
+from .search import Kernel, coarse_topw, code_distances, code_kernel, of_cells, probe, search, vector_kernel
 from .shared import shared_path
 
 
@@ -69,11 +69,16 @@ class IVFIndex:
         return coarse_topw(validated(queries, self.config.dim, "q"), self._trained(), w)
 
     def search(self, queries: DataFrame, k: int, w: int) -> DataFrame:
-        return self.search_cells(self.topw(queries, w), k)
+        w = check_probes(w, self.config.kc, True)
+        queries = validated(queries, self.config.dim, "q")
+        return search(self._populated(), queries, self._trained(), w, self.payload, k, self._kernel(), self.per_part)
 
     def search_cells(self, topw: DataFrame, k: int) -> DataFrame:
         """Search given cells ``(qid, cid, q)``; a cell asked for twice is scanned once."""
-        return probe(self._populated(), topw, self.config.dim, k, self.per_part)
+        return probe(self._populated(), topw, self.payload, self.config.dim, k, self._kernel(), self.per_part)
+
+    def _kernel(self) -> Kernel:
+        return vector_kernel(self.config.dim)
 
     def sizes(self) -> DataFrame:
         return list_sizes(self._populated(), self.config.kc)
@@ -126,8 +131,8 @@ class IVFPQIndex(IVFIndex):
         posted = assign(validated(vectors, self.config.dim), self._trained(), ("embedding",))
         return self.pq.encode(posted, ("cid",)).select("vec_id", "cid", "code")
 
-    def search_cells(self, topw: DataFrame, k: int) -> DataFrame:
-        return probe_codes(self._populated(), topw, self.pq._trained(), k, self.per_part)
+    def _kernel(self) -> Kernel:
+        return code_kernel(self._populated(), self.pq._trained())
 
     def search_all(self, queries: DataFrame, k: int) -> DataFrame:
         """Asymmetric distances to everything."""

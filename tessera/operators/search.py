@@ -83,21 +83,26 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
     return _union([one(part) for part in blocks(queries, (dim + 1) * 8)])
 
 
+def nearest_cells(q: np.ndarray, centers: np.ndarray, w: int) -> np.ndarray:
+    """(queries, w): the nearest cells, nearest first, equal distances by cell; by tiles of bounded size."""
+    step = max(1, TILE // len(centers))
+    found = [np.argsort(l2sqr_block(q[at : at + step], centers), axis=1, kind="stable")[:, :w] for at in range(0, len(q), step)]
+    return np.concatenate(found).astype(np.int32) if found else np.empty((0, min(w, len(centers))), np.int32)
+
+
 def coarse_topw(queries: DataFrame, centers: np.ndarray, w: int) -> DataFrame:
     """``qid, rank, cid, q``: the w nearest cells of each query, nearest first."""
     check_broadcast(centers.nbytes, "the centers")
     shared = queries.sparkSession.sparkContext.broadcast(centers)
     dim = centers.shape[1]
-    step = max(1, TILE // len(centers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
-            dist = l2sqr_block(matrix(batch["q"], dim), shared.value)
-            cid = np.argsort(dist, axis=1, kind="stable")[:, :w]
+        for batch in batches:
+            cid = nearest_cells(matrix(batch["q"], dim), shared.value, w)
             n, kept = cid.shape
             rows = np.repeat(np.arange(n), kept)
             yield pa.RecordBatch.from_arrays(
-                [batch["qid"].take(pa.array(rows)), pa.array(np.tile(np.arange(1, kept + 1, dtype=np.int32), n)), pa.array(cid.ravel().astype(np.int32)), batch["q"].take(pa.array(rows))],
+                [batch["qid"].take(pa.array(rows)), pa.array(np.tile(np.arange(1, kept + 1, dtype=np.int32), n)), pa.array(cid.ravel()), batch["q"].take(pa.array(rows))],
                 ["qid", "rank", "cid", "q"],
             )
 
@@ -114,21 +119,31 @@ def _probed(postings: DataFrame, topw: DataFrame, payload: str, dim: int, k: int
     Probes that fit a broadcast are sent to the postings, which stay where they are. More of them
     are joined with the postings by cell (:func:`_by_cell`).
     """
-    probes = topw.select("qid", "cid", "q").dropDuplicates(["qid", "cid"])
-    most = BROADCAST_BYTES // ((dim + 2) * 8)
-    rows = probes.limit(most + 1).collect()
-    found = _by_cell(postings, probes, payload, dim, k, kernel) if len(rows) > most else _by_broadcast(postings, rows, payload, k, kernel, per_part)
-    return top_k(found, k).select("qid", "rank", "vec_id", "dist")
+    probes = topw.select("qid", "cid", "q")
+    most = most_probes(dim)
+    rows = [tuple(r) for r in probes.limit(most + 1).collect()]
+    if len(rows) > most:
+        return top_k(_by_cell(postings, probes.dropDuplicates(["qid", "cid"]), payload, dim, k, kernel), k).select("qid", "rank", "vec_id", "dist")
+    return _by_broadcast(postings, rows, payload, k, kernel, per_part)
+
+
+def most_probes(dim: int) -> int:
+    """How many (query, cell) pairs fit a broadcast."""
+    return BROADCAST_BYTES // ((dim + 2) * 8)
 
 
-def _by_broadcast(postings: DataFrame, rows: list, payload: str, k: int, kernel: Kernel, per_part: int | None) -> DataFrame:
-    """Each batch of postings sends its k best per query. A stored index reads only the partitions of the cells asked for."""
-    cells: dict[int, list[int]] = defaultdict(list)
+def _by_broadcast(postings: DataFrame, rows: list[tuple], payload: str, k: int, kernel: Kernel, per_part: int | None) -> DataFrame:
+    """The same for probes ``(qid, cid, q)`` that fit a broadcast: each batch of postings sends its k best per query.
+
+    A stored index reads only the partitions of the cells asked for.
+    """
+    cells: dict[int, set[int]] = defaultdict(set)
     vectors: dict[int, np.ndarray] = {}
-    for r in sorted(rows, key=lambda r: (r["cid"], r["qid"])):
-        cells[r["cid"]].append(r["qid"])
-        vectors[r["qid"]] = np.array(r["q"], np.float64)
-    shared = postings.sparkSession.sparkContext.broadcast((dict(cells), vectors))
+    for qid, cid, q in rows:
+        cells[cid].add(qid)
+        if qid not in vectors:
+            vectors[qid] = np.array(q, np.float64)
+    shared = postings.sparkSession.sparkContext.broadcast(({c: sorted(qids) for c, qids in cells.items()}, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queries = shared.value
@@ -140,7 +155,8 @@ def _by_broadcast(postings: DataFrame, rows: list, payload: str, k: int, kernel:
                     found = list(kernel(batch[payload].take(pa.array(at)), ids[at], np.array(qids, np.int64), np.stack([queries[q] for q in qids]), k))
                     yield _batch(found)
 
-    return of_cells(postings, sorted(cells), per_part).select("cid", "vec_id", payload).mapInArrow(run, RESULT)
+    found = of_cells(postings, sorted(cells), per_part).select("cid", "vec_id", payload).mapInArrow(run, RESULT)
+    return top_k(found, k).select("qid", "rank", "vec_id", "dist")
 
 
 def of_cells(postings: DataFrame, cells: list[int], per_part: int | None) -> DataFrame:
@@ -171,22 +187,18 @@ def _by_cell(postings: DataFrame, probes: DataFrame, payload: str, dim: int, k:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, RESULT)
 
 
-def probe(postings: DataFrame, topw: DataFrame, dim: int, k: int, per_part: int | None = None) -> DataFrame:
-    """``qid, rank, vec_id, dist`` over the cells in ``topw(qid, cid, q)``, by distance to the vectors."""
+def vector_kernel(dim: int) -> Kernel:
+    """Distances to the vectors themselves."""
 
     def kernel(payload: pa.Array, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
         return _nearest_of_block(matrix(payload, dim), ids, qid, q, k)
 
-    return _probed(postings, topw, "embedding", dim, k, kernel, per_part)
-
+    return kernel
 
-def probe_codes(postings: DataFrame, topw: DataFrame, codebook: np.ndarray, k: int, per_part: int | None = None) -> DataFrame:
-    """As :func:`probe`, by asymmetric distance: table look-ups summed over the subspaces.
 
-    ``postings`` are (cid, vec_id, code); vectors aren't read. A query's table of distances
-    to the codebook (m, ks) is made where it is needed.
-    """
-    m, _, width = codebook.shape
+def code_kernel(postings: DataFrame, codebook: np.ndarray) -> Kernel:
+    """Asymmetric distances to codes: look-ups in a query's distance table, which is made where it is needed."""
+    m = len(codebook)
     check_broadcast(codebook.nbytes, "the codebook")
     shared = postings.sparkSession.sparkContext.broadcast(codebook)
 
@@ -199,7 +211,27 @@ def probe_codes(postings: DataFrame, topw: DataFrame, codebook: np.ndarray, k: i
                 dist += table[s][codes[:, s]]
             yield from _best(np.array([one]), ids, dist[:, None], k)
 
-    return _probed(postings, topw, "code", m * width, k, kernel, per_part)
+    return kernel
+
+
+def probe(postings: DataFrame, topw: DataFrame, payload: str, dim: int, k: int, kernel: Kernel, per_part: int | None = None) -> DataFrame:
+    """``qid, rank, vec_id, dist`` over the cells in ``topw(qid, cid, q)``, scored by the kernel."""
+    return _probed(postings, topw, payload, dim, k, kernel, per_part)
+
+
+def search(postings: DataFrame, queries: DataFrame, centers: np.ndarray, w: int, payload: str, k: int, kernel: Kernel, per_part: int | None = None) -> DataFrame:
+    """The same over the w cells nearest to each of ``queries(qid, q)``.
+
+    Queries whose probes fit a broadcast are read once, and the driver, which holds the centers, picks their cells.
+    """
+    dim = centers.shape[1]
+    most = most_probes(dim) // w
+    rows = queries.select("qid", "q").limit(most + 1).collect()
+    if len(rows) > most:
+        return _probed(postings, coarse_topw(queries, centers, w), payload, dim, k, kernel, per_part)
+    q = np.array([r["q"] for r in rows], np.float32).astype(np.float64).reshape(-1, dim)
+    cells = nearest_cells(q, centers, w).tolist()
+    return _by_broadcast(postings, [(r["qid"], c, v) for r, v, own in zip(rows, q, cells) for c in own], payload, k, kernel, per_part)
 
 
 def distance_table(q: np.ndarray, codebook: np.ndarray) -> np.ndarray:
