@@ -177,6 +177,13 @@ def test_lines_equal_sql(spark):
         assert (got[c] == want[c]).all(), c
 
 
+def test_ids_of_other_types_and_short_lines(spark):
+    rows = [("b", "one two three four five\nmenu\n\nmenu"), ("a", "one two three four\nread more\nmore read"), ("c", "menu\nmore")]
+    got = {r["doc_id"]: r["text"] for r in lines.line_dedup(frame(spark, rows, "doc_id string, text string")).collect()}
+    # {one .. four} and {one .. five} have a similarity of 0.8; the blank line stays
+    assert got == {"a": "one two three four\nread more", "b": "menu\n", "c": "more"}
+
+
 def test_a_group_of_near_copies_keeps_its_first(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(words[:39] + [f"own{i}"])) for i in range(300)]
