@@ -356,12 +356,19 @@ class PieceTransducer:
             on_path[now] = True
             now = back[now]
             now = now[now > begin_of[now]] - 1
-        path = last[on_path]
-        counts = np.add.reduceat(on_path.astype(np.int64), begins)
-        raw, stops = self.id_of[path].tobytes(), (4 * np.cumsum(counts)).tolist()
-        out = [raw[a:b] for a, b in zip([0, *stops], stops)]
-        odd = np.zeros(len(segments), bool)  # tied merges or unknown characters, by themselves
-        odd[np.searchsorted(ends, start[self.tied[piece] | (piece == self.n)], side="right")] = True
+        path, sizes = last[on_path], np.ones(int(on_path.sum()), np.int64)
+        unknown = np.flatnonzero(path == self.n)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[on_path][unknown].tolist()]
+        sizes[unknown] = list(map(len, raw))
+        stops = np.cumsum(sizes)
+        ids = np.repeat(self.id_of[path], sizes)
+        if raw:  # the bytes of a character take the places of its arc
+            ids[np.repeat(path == self.n, sizes)] = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32) + np.uint32(self.bytes_at)
+        arcs = np.cumsum(np.add.reduceat(on_path.astype(np.int64), begins))
+        written, at = ids.astype("<u4").tobytes(), (4 * stops[arcs - 1]).tolist()
+        out = [written[a:b] for a, b in zip([0, *at], at)]
+        odd = np.zeros(len(segments), bool)  # tied merges, by themselves
+        odd[np.searchsorted(ends, start[self.tied[piece]], side="right")] = True
         for k in np.flatnonzero(odd).tolist():
             out[k] = self._alone(segments[k])
         return out
@@ -373,9 +380,14 @@ class PieceTransducer:
         """Ids of each text; a segment that occurs again is looked up."""
         if len(self.cache) > self.config.cache_segments:
             self.cache.clear()
-        cut = [self.segments.findall(self.normaliser.apply(t)) for t in texts]
-        cache = self.cache
-        new = [s for s in {s for own in cut for s in own} if s not in cache]
+        cache, texts_of = self.cache, []
+        new: set[str] = set()
+        for t in texts:
+            own = self.segments.findall(self.normaliser.apply(t))
+            found = list(map(cache.get, own))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new.update([own[i] for i in missing])
+            texts_of.append((found, [(i, own[i]) for i in missing]))
         short = [s for s in new if self.side_by_side and len(s) <= self.config.long_segment]
         size = max(1, self.config.block_chars // 16)
         for a in range(0, len(short), size):
@@ -383,7 +395,10 @@ class PieceTransducer:
         for s in new:
             if s not in cache:
                 cache[s] = self._alone(s)
-        return [b"".join(map(cache.__getitem__, own)) for own in cut]
+        for found, missing in texts_of:
+            for i, segment in missing:
+                found[i] = cache[segment]
+        return [b"".join(found) for found, _ in texts_of]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_all([text])[0], "<u4")
