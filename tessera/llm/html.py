@@ -52,6 +52,7 @@ NEUTRAL_WORDS = {
     "right", "row", "section", "site", "slot", "small", "stories", "text", "thread", "top", "wrap", "wrapper",
 }
 WORDS = re.compile(r"[a-z0-9]+")
+DEEPEST = 256
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,13 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A lenient DOM of the whole page; unclosed and misnested tags are accepted."""
+    """A lenient DOM of the whole page; unclosed and misnested tags are accepted.
+
+    As in browsers the depth is bounded: what is nested deeper than ``DEEPEST`` lies side by side at that depth.
+    """
     root = Node("#root", "#root")
     stack = [root]
+    flat: Counter = Counter()  # open elements that were too deep
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -94,7 +99,9 @@ def parse(page: str) -> Node:
             continue
         elif close:
             tag = tag.lower()
-            if any(n.tag == tag for n in stack[1:]):
+            if flat[tag]:
+                flat[tag] -= 1
+            elif any(n.tag == tag for n in stack[1:]):
                 while stack.pop().tag != tag:
                     pass
         else:
@@ -110,7 +117,10 @@ def parse(page: str) -> Node:
                 found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = found.end() if found else end
             elif tag not in VOID and not attributes.endswith("/"):
-                stack.append(node)
+                if len(stack) < DEEPEST:
+                    stack.append(node)
+                else:
+                    flat[tag] += 1
     return root
 
 

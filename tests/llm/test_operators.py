@@ -482,6 +482,18 @@ def test_odd_markup_loses_no_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "li", "p", "table"])
+def test_deep_and_long_pages(tag):
+    import time
+
+    began = time.time()
+    page = "".join(f"<{tag}>w{i}" for i in range(20_000)) + f"</b></{tag}>" * 20_000 + "<p a='b" + " c=" * 20_000 + ">end <i " + '"' * 20_000
+    # inline elements part no words, blocks do
+    want = "".join(f"w{i}" for i in range(20_000)) + " end" if tag == "span" else " ".join(f"w{i}" for i in range(20_000)) + " end"
+    assert html.main_text(page) == want
+    assert len(html.style_rows(html.parse(page))) > 20_000 and time.time() - began < 60
+
+
 def test_style_tree_equals_brute_force(spark):
     rng = random.Random(8)
     pages = []
