@@ -70,6 +70,10 @@ class StyleTreeConfig:
     named: float = 0.1
     partly: float = 0.5
 
+    def __post_init__(self):
+        if not self.named < self.importance:
+            raise ValueError("an element named by template words alone must fall below the least importance")
+
 
 @dataclass
 class Node:
@@ -325,8 +329,6 @@ def extract(pages: DataFrame, config: StyleTreeConfig = StyleTreeConfig()) -> Da
     )
     low = materialize(judged.where("verdict > 0").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "verdict"))).alias("judged")), "style-tree")
     joined = pages.select("page_id", "url", "html", host().alias("host")).join(low, "host", "left").select("page_id", "url", "html", "judged.path", "judged.verdict")
-    # a name of template words alone outweighs any importance unless the prior is raised
-    assert config.named < config.importance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
