@@ -16,6 +16,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, StructType
 
@@ -246,22 +247,55 @@ def write_vecs(df: DataFrame, path: str, dtype: str | None = None, overwrite: bo
     files.write(spark, path, records_of((r["embedding"] for r in rows), name), overwrite)
 
 
-def read_hdf5(spark, path: str, dataset: str) -> DataFrame:
-    """A two-dimensional HDF5 dataset as ``vec_id, embedding``; needs h5py on the driver."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 needs h5py, which isn't installed") from e
-    with h5py.File(path) as f:
-        values = f[dataset][:]
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id bigint, embedding array<double>")
+#: Spark's element for the types of HDF5 numbers; unsigned ones go to the next larger signed type.
+HDF5_ELEMENTS = {"i1": "smallint", "u1": "smallint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "i8": "bigint", "f4": "float", "f8": "double"}
 
 
-def write_hdf5(df: DataFrame, path: str, dataset: str) -> None:
-    """Write ``vec_id, embedding`` as a two-dimensional HDF5 dataset; needs h5py on the driver."""
+def _h5py(what: str):
     try:
         import h5py
     except ImportError as e:
-        raise RuntimeError("writing HDF5 needs h5py, which isn't installed") from e
-    with h5py.File(path, "w") as f:
-        f[dataset] = np.array([r["embedding"] for r in df.orderBy("vec_id").toLocalIterator()])
+        raise RuntimeError(f"{what} HDF5 needs h5py, which isn't installed") from e
+    return h5py
+
+
+def read_hdf5(spark, path: str, dataset: str, rows_per_task: int = 65_536) -> DataFrame:
+    """A two-dimensional HDF5 dataset on a mounted path as ``vec_id, embedding``; tasks read ranges of rows. Needs h5py."""
+    with _h5py("reading").File(path, "r") as f:
+        (rows, dim), dtype = f[dataset].shape, np.dtype(f[dataset].dtype)
+    element = HDF5_ELEMENTS.get(f"{dtype.kind}{dtype.itemsize}")
+    if element is None:
+        raise ValueError(f"{path}: {dataset} holds {dtype}; one of {', '.join(HDF5_ELEMENTS)}")
+    own = np.dtype({"smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}[element])
+    step = max(1, (8 << 20) // max(1, dim * own.itemsize))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _h5py("reading").File(path, "r") as f:
+            for task in (t for batch in batches for t in batch["id"].to_pylist()):
+                end = min(rows, (task + 1) * rows_per_task)
+                for a in range(task * rows_per_task, end, step):
+                    values = np.asarray(f[dataset][a : min(a + step, end)]).astype(own)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * dim), pa.array(values.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(values), dtype=np.int64)), lists], ["vec_id", "embedding"])
+
+    tasks = -(-rows // rows_per_task)
+    return spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(run, f"vec_id bigint, embedding array<{element}>")
+
+
+def write_hdf5(df: DataFrame, path: str, dataset: str, block: int = 65_536) -> None:
+    """``vec_id, embedding`` in order of the id as a two-dimensional HDF5 dataset on a mounted path; the driver holds a block of rows. Needs h5py."""
+    element = df.schema["embedding"].dataType.elementType.simpleString()
+    kind = {e: k for k, e in HDF5_ELEMENTS.items() if k[0] != "u" and k != "i1"}.get(element)
+    if kind is None:
+        raise ValueError(f"elements of {element} aren't written")
+    with _h5py("writing").File(path, "w") as f:
+        first = df.select(F.size("embedding")).first()
+        data = f.create_dataset(dataset, shape=(df.count(), first[0] if first else 0), dtype=kind)
+        at, held = 0, []
+        for row in df.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator():
+            held.append(row["embedding"])
+            if len(held) == block:
+                data[at : at + block] = np.array(held, kind)
+                at, held = at + block, []
+        if held:
+            data[at : at + len(held)] = np.array(held, kind)

@@ -1,5 +1,7 @@
 """Binary vector files: round trips, partial records, ranges and limits."""
 
+import sys
+
 import numpy as np
 import pytest
 
@@ -77,6 +79,58 @@ def test_fbin_starts_after_its_header(spark, tmp_path):
     assert spark.read.format("fbin").option("limit", "1").load(path).count() == 1
 
 
+STAND_IN = """
+import numpy as np
+
+
+class File:
+    \"\"\"As much of h5py's File as is used, kept as one .npz.\"\"\"
+
+    def __init__(self, path, mode="r"):
+        self.path, self.mode = path, mode
+        self.data = {} if mode == "w" else dict(np.load(open(path, "rb")))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.mode == "w":
+            np.savez(open(self.path, "wb"), **self.data)
+
+    def __getitem__(self, name):
+        return self.data[name]
+
+    def create_dataset(self, name, shape, dtype):
+        self.data[name] = np.zeros(shape, dtype)
+        return self.data[name]
+"""
+
+
+@pytest.mark.parametrize("kind,element", [("f4", "float"), ("f8", "double"), ("i4", "int"), ("u1", "smallint"), ("u4", "bigint")])
+def test_hdf5_is_read_in_ranges(spark, tmp_path, monkeypatch, kind, element):
+    """With a stand-in for h5py, in the driver and in the tasks, where it isn't installed."""
+    try:
+        import h5py
+    except ImportError:
+        (tmp_path / "lib").mkdir()
+        (tmp_path / "lib" / "h5py.py").write_text(STAND_IN)
+        monkeypatch.syspath_prepend(str(tmp_path / "lib"))
+        import h5py
+
+        # by value to the tasks
+        monkeypatch.setattr(vecs, "_h5py", lambda what, text=STAND_IN: (scope := {}, exec(text, scope), type("h5py", (), {"File": scope["File"]}))[2])
+    path = str(tmp_path / "a.h5")
+    values = np.arange(60).reshape(20, 3).astype(kind)
+    with h5py.File(path, "w") as f:
+        f.create_dataset("train", shape=values.shape, dtype=kind)[:] = values
+    df = vecs.read_hdf5(spark, path, "train", rows_per_task=7)
+    assert df.schema["embedding"].dataType.elementType.simpleString() == element and df.rdd.getNumPartitions() == 3
+    assert [(r["vec_id"], r["embedding"]) for r in df.orderBy("vec_id").collect()] == list(enumerate(values.tolist()))
+    vecs.write_hdf5(df, str(tmp_path / "b.h5"), "test", block=8)
+    assert vecs.read_hdf5(spark, str(tmp_path / "b.h5"), "test").orderBy("vec_id").collect() == df.orderBy("vec_id").collect()
+    sys.modules.pop("h5py", None)
+
+
 def test_hdf5_says_what_it_needs(spark, tmp_path):
     try:
         import h5py  # noqa: F401
