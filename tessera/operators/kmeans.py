@@ -95,17 +95,49 @@ def lloyd(vectors: DataFrame, initial: np.ndarray, iterations: int) -> np.ndarra
 
 
 def initial_points(vectors: DataFrame, k: int, dim: int, init: str | list[int] = "points", seed: int = 123) -> np.ndarray:
-    """k start points: rows drawn by a seeded hash, rows with given ids, or zeros."""
+    """k start points: different rows by a seeded hash ("points"), rows drawn with replacement ("draws"), rows with given ids, or zeros."""
     if init == "zeros":
         return np.zeros((k, dim))
-    if init == "points":
-        chosen = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k)
+    if init == "draws":
+        found = _drawn(vectors, k, seed)
     else:
-        chosen = vectors.where(F.col("vec_id").isin(list(init))).orderBy("vec_id")
-    found = np.array([r["embedding"] for r in chosen.select("embedding").collect()], np.float64).reshape(-1, dim)
-    if len(found) != k:
-        raise ValueError(f"{k} start points asked for, {len(found)} found")
-    return found
+        if init == "points":
+            chosen = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k)
+        else:
+            chosen = vectors.where(F.col("vec_id").isin(list(init))).orderBy("vec_id")
+        found = [r["embedding"] for r in chosen.select("embedding").collect()]
+    points = np.array(found, np.float64).reshape(-1, dim)
+    if len(points) != k:
+        raise ValueError(f"{k} start points asked for, {len(points)} found")
+    return points
+
+
+def _drawn(vectors: DataFrame, k: int, seed: int) -> list[list[float]]:
+    """k rows, possibly the same, each the first at or after a random place on the circle of hashes.
+
+    A task sends its first row for each draw at most, whatever it reads.
+    """
+    draws = np.sort(np.random.default_rng(seed).integers(-(1 << 63), 1 << 63, k, dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, list[float]]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch["h"].to_numpy()
+            order = np.argsort(h, kind="stable")
+            at = np.searchsorted(h[order], draws)
+            for draw, place in enumerate(np.append(at, 0).tolist()):  # the last is the first row of all, for draws beyond the last
+                if place < len(order):
+                    own = int(h[order[place]])
+                    if draw not in best or own < best[draw][0]:
+                        best[draw] = (own, batch["embedding"][int(order[place])].as_py())
+        columns = list(zip(*((d, h, e) for d, (h, e) in best.items()))) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float32()))], ["draw", "h", "embedding"])
+
+    rows = vectors.select(F.xxhash64("vec_id", F.lit(seed)).alias("h"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "draw int, h long, embedding array<float>")
+    found = {r["draw"]: r["embedding"] for r in rows.groupBy("draw").agg(F.min_by("embedding", "h").alias("embedding")).collect()}
+    return [found.get(d, found[k]) for d in range(k)] if found else []
 
 
 def training_sample(vectors: DataFrame, rows: int, seed: int) -> DataFrame:

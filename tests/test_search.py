@@ -75,6 +75,17 @@ def test_initial_points(spark):
         initial_points(v, 2, 1, [7, 0])
 
 
+def test_draws_with_replacement(spark):
+    v = uniform_vectors(spark, 40, 2)
+    rows = {tuple(r["embedding"]) for r in v.collect()}
+    drawn = [initial_points(v.repartition(n), 60, 2, "draws", seed) for n, seed in ((1, 5), (7, 5), (1, 6))]
+    assert np.array_equal(drawn[0], drawn[1]) and not np.array_equal(drawn[0], drawn[2])
+    assert all(tuple(p) in rows for p in drawn[0]) and 1 < len({tuple(p) for p in drawn[0]}) < 40
+    assert initial_points(v.where("vec_id = 3"), 4, 2, "draws").tolist() == [v.where("vec_id = 3").first()["embedding"]] * 4
+    with pytest.raises(ValueError):
+        initial_points(v.limit(0), 1, 2, "draws")
+
+
 def test_validation(spark):
     for bad in (lambda: IVFPQConfig(10, 4, mp=3), lambda: IVFPQConfig(8, 4, mp=4, kp=257), lambda: IVFConfig(0, 1), lambda: Quantizer(8, 2, 300)):
         with pytest.raises(ValueError):
