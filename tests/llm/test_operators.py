@@ -191,6 +191,26 @@ def test_a_group_of_near_copies_keeps_its_first(spark):
     assert out.where("n_removed = 0").select("doc_id").collect() == [(0,)]
 
 
+def test_lines_that_are_nearly_similar_make_no_pairs(spark, monkeypatch):
+    # 36 of 41 words in common are a similarity of 36 / 46; the others are the more frequent, so the filters alone admit many of these pairs
+    rows = [(i, " ".join([f"w{k}" for k in range(36)] + [f"own{i}x{k}" for k in range(5)])) for i in range(100)]
+    rows.append((100, rows[7][1].replace("w0 ", "z ")))
+    rows += [(200 + i, "\n".join(" ".join([f"own{i}x{k}"] * 500) for k in range(5))) for i in range(100)]
+    counts, write = {}, lines.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    monkeypatch.setattr(lines, "_scout_keys", lambda hashes: F.array(F.hash(F.lit(0).cast("long"), hashes[0])))
+    got = lines.line_dedup(frame(spark, rows)).where("n_removed > 0").select("doc_id").collect()
+    assert [r["doc_id"] for r in got] == [100]
+    # the second round's pairs: those of similar lines only
+    assert counts["lines-joined"] in ([0], [1])
+
+
 # 3
 
 
