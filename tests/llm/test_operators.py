@@ -191,6 +191,32 @@ def test_a_group_of_near_copies_keeps_its_first(spark):
     assert out.where("n_removed = 0").select("doc_id").collect() == [(0,)]
 
 
+def test_both_sides_of_the_second_round_are_exchanged_once(spark, docs, monkeypatch):
+    plans, write = {}, lines.materialize
+
+    def planned(df, name):
+        if name in ("lines-met", "lines-joined"):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "materialize", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines.line_dedup(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("ReusedExchange" in plans[name] for name in ("lines-met", "lines-joined"))
+
+
+def test_rarity_levels_rise_with_the_count():
+    counts = np.random.default_rng(3).geometric(0.01, 1 << 12)
+    levels = lines._levels(counts)
+    order = np.argsort(counts)
+    assert (np.diff(levels[order]) >= 0).all() and levels.min() == 0 and levels.max() == 15
+    assert (lines._levels(np.zeros(16, np.int64)) == 0).all()
+
+
 def test_lines_that_are_nearly_similar_make_no_pairs(spark, monkeypatch):
     # 36 of 41 words in common are a similarity of 36 / 46; the others are the more frequent, so the filters alone admit many of these pairs
     rows = [(i, " ".join([f"w{k}" for k in range(36)] + [f"own{i}x{k}" for k in range(5)])) for i in range(100)]
